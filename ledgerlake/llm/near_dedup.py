@@ -71,6 +71,71 @@ def _verify(least: float):
     return check
 
 
+def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(len(batch)):  # a set at a time: sets may be large
+            s = np.frombuffer(batch.column(2)[at].as_buffer(), np.int64)
+            rows = pa.array(np.zeros(len(s), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(s), batch.column(0).slice(at, 1).take(rows), batch.column(1).slice(at, 1).take(rows)], ["shingle", "node", "cluster"])
+
+
+def _compare_blocks(table: pa.Table) -> pa.Table:
+    """Links between members of two blocks (or of one) that are in different clusters; for each member one link to
+    each cluster at most."""
+    node, block, cluster = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "block", "cluster"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members").combine_chunks()]
+    sizes = np.array([len(s) for s in sets])
+    first = np.flatnonzero(block == block.min())
+    second = np.flatnonzero(block == block.max())
+    tokens = np.concatenate([sets[i] for i in second])
+    owner = np.repeat(np.arange(len(second)), sizes[second])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    found_a, found_b = [], []
+    for i in first:
+        lo, hi = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
+        width = hi - lo
+        at = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum())
+        both = np.bincount(owner[at], minlength=len(second))
+        link = np.flatnonzero((WHOLE * both >= PART * (sizes[i] + sizes[second] - both)) & (cluster[second] != cluster[i]))
+        if len(link):
+            _, one = np.unique(cluster[second][link], return_index=True)
+            found_a += [node[i]] * len(one)
+            found_b += list(node[second[link[one]]])
+    kind = table.schema.field("node").type
+    return pa.table({"a": pa.array(found_a, kind), "b": pa.array(found_b, kind)})
+
+
+#: A block of a family has about so many members, and so many shingles, at most.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 400, 400_000
+
+
+def _links_between_clusters(groups: DataFrame, clusters: DataFrame, candidates: DataFrame, id_type: str) -> DataFrame:
+    """Links (a, b) between members of a band group that are in different clusters (step 5 of near_duplicates)."""
+    placed = groups.join(clusters, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("cluster"))
+    # in a group of two, both have been compared
+    several = placed.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high and rows > 2").select("key")
+    unsure = written(placed.join(several, "key", "left_semi"), "unsure")
+    members = unsure.select("node", "n", "cluster").distinct().join(candidates.select("node", "members"), "node").select("node", "cluster", "members")
+    shingles = members.mapInArrow(_shingles_of, f"shingle long, node {id_type}, cluster {id_type}")
+    common = shingles.groupBy("shingle").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("shingle")
+    usable = shingles.join(common, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("usable"))
+    able = written(unsure.select("node", "n", "cluster").distinct().join(usable, "node").where(WHOLE * F.col("usable") >= PART * F.col("n")).select("node", "n", "cluster"), "able")
+    ties = unsure.join(able.select("node"), "node", "left_semi")
+    hubs = ties.groupBy("key").agg(F.min("node").alias("a"))
+    family = connected_components(ties.join(hubs, "key").select("a", F.col("node").alias("b")).distinct(), "families").withColumnRenamed("component", "family")
+    of_family = able.join(family, "node")
+    sizes = (
+        of_family.groupBy("family")
+        .agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
+        .where("low <> high")
+        .select("family", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    )
+    dealt = of_family.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "cluster").join(candidates.select("node", "members"), "node")
+    return written(pairs.groupBy("family", "i", "j").applyInArrow(_compare_blocks, f"a {id_type}, b {id_type}"), "between")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
@@ -83,9 +148,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. Each class has 64 band keys of 5 registers. Two sets of similarity 0.75 miss every common band once in 10^7
        or less. Keys that several classes share are kept, each with its smallest node as its centre.
     4. Every member is compared with its centres: registers first, then full sets. Confirmed links give clusters.
-    5. What can still be linked lies in one band group but in different clusters. Jaccard distance is a metric, so a
-       pair whose distances to their centre differ by more than 0.25 isn't linked; the others are compared likewise.
-       No pair within a cluster is formed, and no link between clusters of a band group is lost.
+    5. What can still be linked lies in one band group but in different clusters. Of a link's two sets, three
+       quarters of each are shingles that both clusters have: members with fewer such shingles go. What remains is
+       dealt into blocks of bounded size, and blocks of one family (groups that share members) are compared with each
+       other. No pair within a cluster is formed, none is emitted unless it is a link, and no link between clusters
+       of a band group is lost.
     6. Components of all confirmed links.
 
     Null or wordless texts have no shingles: n_shingles 0, linked with nothing. Rows with equal ids count as one
@@ -122,32 +189,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return written(full.mapInArrow(_verify(least), f"a {id_type}, b {id_type}, both long, either long"), name)
 
     linked = WHOLE * F.col("both") >= PART * F.col("either")
-    # from 0.5 on, as the distance to the centre serves in the next step
-    stars = verified(groups.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), 0.5, "stars")
+    stars = verified(groups.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), PART / WHOLE, "stars")
     first = stars.where(linked).select("a", "b")
     clusters = connected_components(first, "clusters")
 
-    far = stars.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("distance"))
-    placed = (
-        groups.join(clusters, "node", "left")
-        .withColumn("cluster", F.coalesce("component", "node"))
-        .join(far, ["centre", "node"], "left")
-        # a distance of over 0.5 has no exact value: null
-        .select("key", "node", "n", "cluster", F.when(F.col("node") == F.col("centre"), F.lit(0.0)).otherwise(F.col("distance")).alias("distance"), (F.coalesce("distance", F.lit(1.0)) > 0.25).alias("apart") & (F.col("node") != F.col("centre")))
-    )
-    placed = written(placed.toDF("key", "node", "n", "cluster", "distance", "apart"), "placed")
-    # a member that is linked with the centre is in its cluster: at least one of a pair is apart
-    x, y = placed.where("apart").alias("x"), placed.alias("y")
-    near = F.when(
-        F.col("x.distance").isNotNull() & F.col("y.distance").isNotNull(), F.abs(F.col("x.distance") - F.col("y.distance")) <= 0.2501
-    ).otherwise(F.coalesce("x.distance", "y.distance", F.lit(1.0)) >= 0.2499)
-    crossing = (
-        x.join(y, F.col("x.key") == F.col("y.key"))
-        .where((F.col("x.cluster") != F.col("y.cluster")) & (F.least("x.n", "y.n") * WHOLE >= F.greatest("x.n", "y.n") * PART) & near)
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        .distinct()
-    )
-    rest = verified(crossing, PART / WHOLE, "rest").where(linked).select("a", "b")
+    rest = _links_between_clusters(groups, clusters, candidates, id_type)
     components = connected_components(first.unionByName(rest), "components")
     of_class = classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return (
