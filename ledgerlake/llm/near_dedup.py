@@ -203,6 +203,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near duplicates, the one with the smallest id, and all its columns.
+
+    Rows with one id stay or go together, but rows that repeat an id and a text stay once. Rows with a null id stay
+    unless their text has words and is exactly a text of a row with an id, and equal ones of them stay once. Texts
+    without words, null ones among them, always stay.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    gone = written(found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.bool_or("kept").alias("kept")).where("not kept").select(id_col), "gone")
+    named = docs.where(F.col(id_col).isNotNull())
+    out = named.join(F.broadcast(gone) if _is_small(gone) else gone, id_col, "left_anti").select(docs.columns)
+    repeated = named.groupBy(id_col).count().where("count > 1").select(id_col)
+    if not repeated.isEmpty():
+        once = out.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns)
+        out = out.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(once)
+    nameless = docs.where(F.col(id_col).isNull())
+    if not nameless.isEmpty():
+        worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        rest = nameless.where(worded).join(named.select(text_col), text_col, "left_anti").dropDuplicates([text_col]).select(docs.columns)
+        out = out.unionByName(rest).unionByName(nameless.where(~worded))
+    return out
+
+
 def _is_small(ids: DataFrame) -> bool:
     width = F.coalesce(F.length(F.col(ids.columns[0]).cast("string")), F.lit(0)) + 8
     return (ids.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES

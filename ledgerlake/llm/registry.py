@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("near_dedup",)
+MODULES = ("chat_format", "secrets", "pii", "decontaminate", "packing", "near_dedup", "substring_dedup", "toxicity", "telephony", "warc")
 
 
 def _collect(what: str) -> dict:
