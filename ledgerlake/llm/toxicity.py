@@ -87,6 +87,10 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at])], ["at", "weight"])
 
 
+def _order(id_col: str):
+    return F.xxhash64(F.col(id_col).cast("string"), F.lit(7))
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, shards: int = SHARDS) -> np.ndarray:
     """Weights from labelled rows; rows without a label are left out and null texts count as empty.
 
@@ -94,8 +98,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     that learn apart, each in one task; the mean of their weights is the model. Without any row all weights are 0.
     Only the non-zero weights come to the driver.
     """
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit(7))
-    sample = labelled.where(F.col(label_col).isNotNull()).select(order.alias("place"), F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label")).orderBy("place").limit(max_labelled)
+    sample = labelled.where(F.col(label_col).isNotNull()).select(_order(id_col).alias("place"), F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label")).orderBy("place").limit(max_labelled)
     dealt = sample.select(F.pmod("place", F.lit(shards)).cast("int").alias("shard"), "place", "text", "label").repartition(shards, "shard")
     w = np.zeros((1 << BITS) + 1)
     for r in dealt.mapInArrow(_fit, "at int, weight double").groupBy("at").agg(F.sum("weight").alias("weight")).collect():
@@ -128,9 +131,11 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learned(spark: SparkSession, sf_dir: str) -> np.ndarray:
-    """The model from the labelled documents that are not held out."""
+    """The model from the labelled documents that are not held out. The sample is drawn from the labels, so what is
+    broadcast are MAX_LABELLED ids at most, and no text moves but those of the sample."""
     labels = read_table(spark, sf_dir, "labels").where("toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return train(read_table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    sample = labels.orderBy(_order("doc_id"), "doc_id").limit(MAX_LABELLED)
+    return train(read_table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
