@@ -18,7 +18,8 @@ WINDOW = 10
 MAX_WORDS = 200_000
 #: Items longer than this are cut into pieces that overlap by WINDOW - 1 words, so no window is lost.
 PIECE_WORDS = 50_000
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text whose A-Z are not lower-cased.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FOUND = "n_words long, hits array<struct<first:int,last:int>>, items array<string>, longest int"
 
 
@@ -57,15 +58,16 @@ def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
     return out
 
 
-def _scan(blob):
-    """Adds what one automaton finds to what earlier ones have found."""
+def _scan(blob, min_run: int | None = None):
+    """Adds what one automaton finds to what earlier ones have found; with min_run, runs of so many hit words are then
+    cut out of the text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = pickle.loads(blob.value)
         for batch in batches:
             names = batch.schema.names
             text, hits, items, longest = (batch.column(names.index(c)) for c in ("text", "hits", "items", "longest"))
-            n_words, all_hits, all_items, all_longest = [], [], [], []
+            n_words, all_hits, all_items, all_longest, clean = [], [], [], [], []
             for t, h, k, m in zip(text, hits, items, longest, strict=True):
                 words = words_of(t.as_py())
                 spans, keys, best = automaton.matches(words)
@@ -75,7 +77,11 @@ def _scan(blob):
                 all_hits.append([{"first": a, "last": b - 1} for a, b in spans])
                 all_items.append(sorted({*(k.as_py() or ()), *(x for x in keys if x is not None)}))
                 all_longest.append(max(best, m.as_py() or 0))
+                if min_run is not None:
+                    clean.append(_without(t.as_py(), [x for x in spans if x[1] - x[0] >= min_run]))
             new = {"n_words": pa.array(n_words, pa.int64()), "hits": pa.array(all_hits, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), "items": pa.array(all_items, pa.list_(pa.string())), "longest": pa.array(all_longest, pa.int32())}
+            if min_run is not None:
+                new["text"] = pa.array(clean, pa.string())
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names)
 
     return scan
@@ -91,55 +97,49 @@ def _united(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+def _without(text: str | None, runs: list[list[int]]) -> str | None:
+    """The text without the given [start, end) runs of words; what stood around a removed run is parted by one space."""
+    if not runs:
+        return text
+    at = [m.span() for m in _WORD.finditer(text)]
+    parts, done = [], 0
+    for first, end in runs:
+        parts.append(text[done : at[first][0]])
+        done = at[end - 1][1]
+    parts.append(text[done:])
+    return " ".join(p.strip() for p in parts if p.strip())
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_words: int = MAX_WORDS, min_run: int | None = None) -> DataFrame:
     """docs with a struct column `contamination`: n_words, hits (first and last word of each maximal run of words
     that windows cover), items (sorted ids of the items with occurring windows) and longest (the longest match).
 
     A window is WINDOW consecutive words of an item, or a whole shorter item. Null texts and texts or items without
     words have no windows. Items with a null id mark words but are not listed. An earlier column `contamination` is
-    replaced. One pass over docs for each automaton, no shuffle; between passes the rows are written.
+    replaced. With min_run, runs of at least so many hit words are cut out of the text, in the same pass. One pass
+    over docs for each automaton, no shuffle; between passes the rows are written.
     """
     spark = docs.sparkSession
     docs = docs.drop("contamination")
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("text"))
-    out = plain.selectExpr("doc", "text", "0L as n_words", "cast(array() as array<struct<first:int,last:int>>) as hits", "cast(array() as array<string>) as items", "0 as longest")
-    blobs = automata(items, item_col, item_text_col, max_words)
-    for k, blob in enumerate(blobs or [pickle.dumps(SuffixAutomaton([], WINDOW))]):
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    out = docs.select(rest.alias("doc"), F.col(text_col).alias("text")).selectExpr("doc", "text", "0L as n_words", "cast(array() as array<struct<first:int,last:int>>) as hits", "cast(array() as array<string>) as items", "0 as longest")
+    blobs = automata(items, item_col, item_text_col, max_words) or [pickle.dumps(SuffixAutomaton([], WINDOW))]
+    for k, blob in enumerate(blobs):
         if k:
             out = written(out, "contamination")
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(blob)), f"doc {out.schema['doc'].dataType.simpleString()}, text string, {_FOUND}")
-    return out.select("doc.*", F.struct("n_words", "hits", "items", "longest").alias("contamination"))
-
-
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the given runs of words; what stood around a removed run is parted by one space."""
-    for batch in batches:
-        names = batch.schema.names
-        out = []
-        for text, runs in zip(batch.column(names.index("_text")), batch.column(names.index("_runs")), strict=True):
-            text, runs = text.as_py(), runs.as_py()
-            if runs:
-                at = [m.span() for m in _WORD.finditer(text)]
-                parts, done = [], 0
-                for r in runs:
-                    parts.append(text[done : at[r["first"]][0]])
-                    done = at[r["last"]][1]
-                parts.append(text[done:])
-                text = " ".join(p.strip() for p in parts if p.strip())
-            out.append(text)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], [*names[:-2], "_clean"])
+        cut = min_run if k == len(blobs) - 1 else None
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(blob), cut), f"doc {out.schema['doc'].dataType.simpleString()}, text string, {_FOUND}")
+    named = [F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns]
+    return out.select(*named, F.struct("n_words", "hits", "items", "longest").alias("contamination"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", min_run: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """docs without contamination, with the same columns: runs of at least min_run hit words are cut out of the text,
     and documents of which hit words are more than max_coverage go. Rows without hits stay as they are."""
-    found = find_contamination(docs, items, text_col)
+    found = find_contamination(docs, items, text_col, min_run=min_run)
     n_hit = hit_words(F.col("contamination"))
     kept = found.where((n_hit <= max_coverage * F.col("contamination.n_words")) | (n_hit == 0))
-    runs = F.filter("contamination.hits", lambda h: h["last"] - h["first"] + 1 >= min_run)
-    flat = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("_text"), runs.alias("_runs"))
-    clean = flat.mapInArrow(_without, f"doc {flat.schema['doc'].dataType.simpleString()}, _clean string")
-    return clean.select(*[F.col("_clean").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hit_words(contamination: Column) -> Column:

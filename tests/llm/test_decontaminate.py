@@ -42,9 +42,9 @@ def test_against_brute_force(spark, max_words):
 def test_cleaning(spark):
     passage = " ".join(f"p{i}" for i in range(15))
     clean = " ".join(f"c{i}" for i in range(40))
-    docs = spark.createDataFrame([(1, f"{clean}. {passage}! {clean}"), (2, f"{passage} x"), (3, clean), (4, None)], "doc_id long, text string").selectExpr("*", "7 as n_chars")
+    docs = spark.createDataFrame([(1, f"{clean}. {passage}! {clean}"), (2, f"{passage} x"), (3, clean), (4, None), (5, f"{clean.upper()}-A {passage.upper()}, End")], "doc_id long, text string").selectExpr("*", "7 as n_chars")
     out = {r.doc_id: r.text for r in decontaminate(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
-    assert out == {1: f"{clean}. ! {clean}", 3: clean, 4: None}
+    assert out == {1: f"{clean}. ! {clean}", 3: clean, 4: None, 5: f"{clean.upper()}-A , End"}
 
 
 def test_empty_tables(spark):
