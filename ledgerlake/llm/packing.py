@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import columns_free_of, read_table
 
@@ -17,12 +21,10 @@ MAX_LENGTHS = 2_000_000
 _ADDED = ["n_tokens", "bucket", "bucket_tokens", "batch", "place"]
 
 
-def word_tokens(text: Column) -> Column:
+@F.pandas_udf(LongType())
+def word_tokens(text: pd.Series) -> pd.Series:
     """Tokens of a text: its words, parted by space, tab, LF, VT, FF and CR, and one end mark. Null counts as empty."""
-    # each word becomes one letter and white space goes, so that no array of words is made
-    words = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "w")
-    lead = F.when(words.rlike(r"\A[\x20\x09-\x0D]"), F.regexp_replace(words, r"\A[\x20\x09-\x0D]++", "")).otherwise(words)
-    return F.length(lead).cast("long") + 1
+    return pd.Series([len((t or "").encode("utf-8", "surrogatepass").split()) + 1 for t in text], dtype="int64")
 
 
 def optimal_bounds(histogram: list[tuple[int, int]], buckets: int) -> tuple[list[int], int]:
@@ -90,7 +92,7 @@ def pack(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id",
     if not bounds:
         return sized.selectExpr("*", "0 as bucket", "0L as bucket_tokens", "0L as batch", "0L as place")
     upper = F.array(*[F.lit(b).cast("long") for b in bounds])
-    bucket = F.size(F.filter(upper, lambda b: b < F.col("n_tokens")))
+    bucket = reduce(lambda a, b: a + b, [(F.col("n_tokens") > b).cast("int") for b in bounds])
     placed = sized.withColumn("bucket", bucket).withColumn("bucket_tokens", F.element_at(upper, F.col("bucket") + 1))
     placed = placed.withColumn("_stretch", F.coalesce(F.floor(F.col(id_col) / STRETCH), F.lit(-(2**62))))
     # the number of a row is the count of rows before its stretch, and its number there
