@@ -13,7 +13,7 @@ _PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x16566
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, kept for the words seen; emptied at LIMIT words, so that memory is bounded."""
 
-    LIMIT = 1_000_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import read_table
 from .shingles import mix
@@ -31,7 +32,7 @@ class _Words(dict):
     """word (bytes) -> 64-bit hash of its lower-cased form without marks at its ends; bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.lower().strip(_STRIP))
         return h
@@ -112,18 +113,18 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col:
     docs = docs.drop(out_col)
     blob = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(DoubleType())
+    def probability(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, w = _Words(), blob.value
-        for batch in batches:
-            out = np.empty(len(batch))
-            for i, text in enumerate(batch.column(1)):
+        for texts in parts:
+            out = np.empty(len(texts))
+            for i, text in enumerate(texts):
                 at = features(text.as_py(), words)
                 at = np.unique(at[w[at] != 0])
                 out[i] = np.float64(w[at].sum(dtype=np.float64) + w[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], ["doc", out_col])
+            yield pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("_text"))
-    return packed.mapInArrow(run, f"doc {packed.schema['doc'].dataType.simpleString()}, {out_col} double").select("doc.*", out_col)
+    return docs.withColumn(out_col, probability(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id"):
