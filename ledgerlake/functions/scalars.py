@@ -23,7 +23,11 @@ def content_key(full: Column, length: Column, head: Column, tail: Column) -> Col
     return F.concat(part(full), F.lit("\n"), part(length), F.lit("\n"), part(head), F.lit("\n"), part(tail))
 
 
-def derive_address_key(password: bytes, salt: bytes, info: bytes = b"asb-blob-address") -> bytes:
+# fixed value: the key's purpose, part of its derivation
+_ADDRESS_INFO = b"asb-blob-address"
+
+
+def derive_address_key(password: bytes, salt: bytes, info: bytes = _ADDRESS_INFO) -> bytes:
     """HKDF-SHA256 of one block; made once, on the driver."""
     prk = hmac.new(salt, password, hashlib.sha256).digest()
     return hmac.new(prk, info + b"\x01", hashlib.sha256).digest()
@@ -94,7 +98,7 @@ def storage_key(kind: Column, ref: Column) -> Column:
 
 def normalized_path(path: Column) -> Column:
     """Backslashes become slashes; empty segments and blanks around segments go."""
-    parts = F.transform(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), F.trim)
+    parts = F.transform(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda s: F.trim(s))  # F.trim itself would take the place as its second argument
     return F.array_join(F.filter(parts, lambda s: s != ""), "/")
 
 
