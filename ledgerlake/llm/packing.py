@@ -84,21 +84,25 @@ def pack(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id",
     take their numbers in any order. Documents longer than the budget are batches of one. Empty tables give no rows.
     Columns of docs with the names of the added ones are replaced.
     """
-    sized = columns_free_of(docs, _ADDED).withColumn("n_tokens", tokens if tokens is not None else word_tokens(F.col(text_col)))
+    names = columns_free_of(docs, _ADDED).columns
+    # the columns of docs travel in one struct, where no name can clash with those of the steps
+    doc = F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")
+    sized = docs.select(doc, F.col(id_col).alias("id"), (tokens if tokens is not None else word_tokens(F.col(text_col))).alias("n_tokens"))
+    own = [F.col(f"doc.`{c}`") for c in names]
     histogram = sized.groupBy("n_tokens").count().limit(MAX_LENGTHS + 1).collect()
     if len(histogram) > MAX_LENGTHS:
         raise ValueError(f"more than {MAX_LENGTHS} different lengths: round n_tokens up first")
     bounds, _ = optimal_bounds(sorted((r[0], r[1]) for r in histogram), buckets)
     if not bounds:
-        return sized.selectExpr("*", "0 as bucket", "0L as bucket_tokens", "0L as batch", "0L as place")
+        return sized.select(*own, "n_tokens", *[F.lit(0).cast(t).alias(c) for c, t in (("bucket", "int"), ("bucket_tokens", "long"), ("batch", "long"), ("place", "long"))])
     upper = F.array(*[F.lit(b).cast("long") for b in bounds])
     bucket = reduce(lambda a, b: a + b, [(F.col("n_tokens") > b).cast("int") for b in bounds])
     placed = sized.withColumn("bucket", bucket).withColumn("bucket_tokens", F.element_at(upper, F.col("bucket") + 1))
-    placed = placed.withColumn("_stretch", F.coalesce(F.floor(F.col(id_col) / STRETCH), F.lit(-(2**62))))
+    placed = placed.withColumn("_stretch", F.coalesce(F.floor(F.col("id") / STRETCH), F.lit(-(2**62))))
     # the number of a row is the count of rows before its stretch, and its number there
     counts = placed.groupBy("bucket", "_stretch").count()
     before = counts.select("bucket", "_stretch", (F.sum("count").over(Window.partitionBy("bucket").orderBy("_stretch")) - F.col("count")).alias("_before"))
-    in_order = Window.partitionBy("bucket", "_stretch").orderBy(F.col(id_col).asc_nulls_first(), "n_tokens")
+    in_order = Window.partitionBy("bucket", "_stretch").orderBy(F.col("id").asc_nulls_first(), "n_tokens")
     ranked = placed.withColumn("_in_stretch", F.row_number().over(in_order) - 1)
     number = F.col("_before") + F.col("_in_stretch")
     rows = F.greatest(F.lit(1), F.expr(f"{budget} div bucket_tokens"))
@@ -107,7 +111,7 @@ def pack(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id",
         .withColumn("_number", number)
         .withColumn("batch", F.floor(F.col("_number") / rows))
         .withColumn("place", F.col("_number") % rows)
-        .select(*[F.col(f"`{c}`") for c in sized.columns], "bucket", "bucket_tokens", "batch", "place")
+        .select(*own, "n_tokens", "bucket", "bucket_tokens", "batch", "place")
     )
 
 

@@ -228,19 +228,21 @@ def find_pii(docs: DataFrame, text_col: str = "text", name: str = "pii") -> Data
 def redact(docs: DataFrame, text_col: str = "text", name: str = "pii") -> DataFrame:
     """docs, same columns: each span of find_pii, or union of overlapping ones, replaced by the upper-cased kind of
     its first span in brackets. Null texts stay null."""
-    found = find_pii(docs, text_col, name)
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    found = find_pii(docs.select(rest.alias("doc"), F.col(text_col).alias("text")), "text", name)
+    text = F.col("text")
     spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     mark = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(done: Column, s: Column) -> Column:
-        between = F.substring(F.col(text_col), done["at"] + 1, s["start"] - done["at"])
+        between = F.substring(text, done["at"] + 1, s["start"] - done["at"])
         fresh = F.struct(s["end"].alias("at"), F.concat(done["text"], between, mark[s["kind"]]).alias("text"))
         overlapped = F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["text"].alias("text"))
         return F.when((s["start"] >= done["at"]) | (done["text"] == ""), fresh).otherwise(overlapped)
 
-    clean = F.aggregate(spans, zero, step, lambda d: F.concat(d["text"], F.substring(F.col(text_col), d["at"] + 1, F.length(F.col(text_col)))))
-    return found.select(*[F.when(F.size("spans") == 0, F.col(text_col)).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate(spans, zero, step, lambda d: F.concat(d["text"], F.substring(text, d["at"] + 1, F.length(text))))
+    return found.select(*[F.when(F.size("spans") == 0, text).otherwise(clean).alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def listed(spans: Column) -> Column:

@@ -138,8 +138,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.drop("removed_bytes")
     spans = repeated_spans(docs, id_col, text_col, min_run).withColumnRenamed("id", "_id").withColumnRenamed("spans", "_spans")
-    joined = docs.join(spans, F.col(id_col) == F.col("_id"), "left")
-    packed = joined.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text_col].alias("text"), "_spans")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("text"), F.col(id_col).alias("_id"))
+    packed = rows.join(spans, "_id", "left").select("doc", "text", "_spans")
     done = packed.mapInArrow(_cut_out, f"doc {packed.schema['doc'].dataType.simpleString()}, text string, removed long")
     return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns], F.col("removed").alias("removed_bytes"))
 

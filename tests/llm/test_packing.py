@@ -40,3 +40,10 @@ def test_edges(spark):
     assert sorted(r.n_tokens for r in rows) == [1, 1, 2, 3, 3, 5001]
     assert len({(r.bucket, r.batch, r.place) for r in rows}) == 6
     assert pack(df.limit(0)).collect() == []
+
+
+def test_clashing_columns_keep_their_values(spark):
+    extra = ["doc", "id", "_stretch", "_before", "_in_stretch", "_number", "count"]
+    df = spark.range(50).selectExpr("id as doc_id", "repeat('w ', cast(id as int)) as text", *[f"concat('{c}', id) as {c}" for c in extra])
+    rows = pack(df, buckets=3, budget=100).collect()
+    assert len(rows) == 50 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra)

@@ -65,8 +65,10 @@ def test_whole_table(spark):
 
 
 def test_redaction(spark):
-    df = spark.createDataFrame([(1, "é a@b.cd, 192.168.0.1 x"), (2, None), (3, "none"), (4, "+4111 1111 1111 111 1")], "doc_id long, text string")
-    out = {r.doc_id: r.text for r in redact(df).collect()}
+    df = spark.createDataFrame([(1, "é a@b.cd, 192.168.0.1 x"), (2, None), (3, "none"), (4, "+4111 1111 1111 111 1")], "doc_id long, text string").selectExpr("*", "'x' as spans", "1 as doc")
+    rows = redact(df).collect()
+    assert all((r.spans, r.doc) == ("x", 1) for r in rows)
+    out = {r.doc_id: r.text for r in rows}
     assert out[1] == "é [EMAIL], [IP] x" and out[2] is None and out[3] == "none"
     assert "1111" not in out[4]
 

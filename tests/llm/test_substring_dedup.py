@@ -49,10 +49,11 @@ def test_passages_and_edges(spark):
     text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
     passage = text(55)
     rows = [(i, f"{text(40)} {passage} {text(40)}") for i in range(40)] + [(100, text(300)), (101, None), (102, ""), (None, passage), (103, "é" * 400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as removed_bytes", "2 as id", "3 as spans", "4 as _spans")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as removed_bytes", "2 as id", "3 as spans", "4 as _spans", "5 as _id", "6 as doc")
     found = {r.id: r.spans for r in repeated_spans(df.select("doc_id", "text")).collect()}
     assert set(range(1, 40)) <= set(found) and 100 not in found
-    out = {r.doc_id: r for r in remove_repeats(df.drop("_spans")).collect()}
+    out = {r.doc_id: r for r in remove_repeats(df).collect()}
+    assert all((r.id, r.spans, r._spans, r._id, r.doc) == (2, 3, 4, 5, 6) for r in out.values())
     assert out[0].text == rows[0][1] and out[100].removed_bytes == 0 and out[101].text is None and out[None].text == passage
     assert all(len(out[i].text.encode()) + out[i].removed_bytes == len(rows[i][1].encode()) for i in range(40))
     assert repeated_spans(df.select("doc_id", "text").limit(0)).collect() == []
