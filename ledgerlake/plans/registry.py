@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..functions import schedule, texts
 from ..operators import dedup, diff, journal, metrics, oplog, packs, rules, storage
 from . import fixtures as fx
 
@@ -777,3 +778,72 @@ def j03_difference(spark, sf):
 def j05_ordered_concat(spark, sf):
     rows = fx.version(spark, sf, 1)
     return storage.directories(rows).select("path", F.lit("dir").alias("kind")).unionByName(rows.select("path", F.lit("file").alias("kind")))
+
+
+# Texts and schedules
+
+_FULL = "'%Y-%m-%d %H:%M:%S'"
+
+
+@_query(
+    f"""SELECT event_id, strftime(e, {_FULL}) AS local_time, 'UTC+08:00' AS utc_offset,
+      CASE WHEN event_id % 7 = 0 THEN '—' ELSE strftime(s, {_FULL}) END || ' → ' || CASE WHEN event_id % 7 <> 0 AND CAST(s AS DATE) = CAST(e AS DATE) THEN strftime(e, '%H:%M:%S') ELSE strftime(e, {_FULL}) END AS span
+    FROM (SELECT event_id, ts + INTERVAL 2 HOUR AS s, ts + INTERVAL 8 HOUR AS e FROM events)"""
+)
+def f16_local_times(spark, sf):
+    started = F.when(F.col("event_id") % 7 != 0, F.expr("ts - INTERVAL 6 HOURS"))
+    zone = "Asia/Shanghai"
+    return fx.table(spark, sf, "events").select("event_id", texts.local_time(F.col("ts"), zone).alias("local_time"), texts.utc_offset(F.col("ts"), zone).alias("utc_offset"), texts.version_span(started, F.col("ts"), zone).alias("span"))
+
+
+@_query(
+    """SELECT p_partkey, strftime(CASE p_partkey % 5 WHEN 1 THEN date_trunc('hour', a) + to_minutes((minute(a) // 15 + 1) * 15) ELSE (
+        SELECT min(c) FROM (SELECT date_trunc('day', a) + to_days(CAST(d AS INTEGER)) + to_hours(h) + to_minutes(m) AS c FROM (SELECT unnest(range(0, 41)) AS d)) t
+        WHERE c > a AND (p_partkey % 5 = 0 OR p_partkey % 5 = 2 AND isodow(c) <= 5 OR p_partkey % 5 = 3 AND day(c) IN (1, 15))) END, '%Y-%m-%d %H:%M:%S') AS next_run
+    FROM (SELECT p_partkey, p_size % 60 AS m, p_partkey % 24 AS h, TIMESTAMP '2024-02-26 10:30:00' + to_hours(p_partkey) AS a FROM part)"""
+)
+def f17_next_runs(spark, sf):
+    cron = F.expr("element_at(array(p_size % 60 || ' ' || p_partkey % 24 || ' * * *', '*/15 * * * *', p_size % 60 || ' ' || p_partkey % 24 || ' * * MON-FRI', p_size % 60 || ' ' || p_partkey % 24 || ' 1,15 * *', 'soon'), cast(p_partkey % 5 as int) + 1)")
+    after = F.timestamp_add("HOUR", F.col("p_partkey"), F.lit("2024-02-26 10:30:00").cast("timestamp_ntz"))
+    return fx.table(spark, sf, "part").select("p_partkey", F.date_format(schedule.next_occurrence(cron, after), "yyyy-MM-dd HH:mm:ss").alias("next_run"))
+
+
+@_query(
+    r"""SELECT c_custkey, '{"t": "' || replace(replace(t, '\', '\\'), '"', '\"') || '", "b": "' || c_mktsegment || '", "raw": ' || t || '}' AS as_json, 'x?t=' || url_encode(t) || '&b=' || url_encode(c_mktsegment) AS as_url
+    FROM (SELECT c_custkey, c_mktsegment, c_name || ' "a\b" $1 é/~' AS t FROM customer)"""
+)
+def f20_filled_templates(spark, sf):
+    title, body = F.concat("c_name", F.lit(' "a\\b" $1 é/~')), F.col("c_mktsegment")
+    filled = [texts.fill_template(F.lit(t), title, body, how).alias(f"as_{how}") for t, how in (('{"t": "{Title}", "b": "{BODY}", "raw": {titleraw}}', "json"), ("x?t={title}&b={Body}", "url"))]
+    return fx.table(spark, sf, "customer").select("c_custkey", *filled)
+
+
+@_query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'pack ' || p_brand || ' (' || CAST(p_size % 3 AS VARCHAR) || CASE WHEN p_size % 3 = 1 THEN ' file)' ELSE ' files)' END
+      WHEN p_size % 3 > 0 THEN p_name ELSE p_brand END AS label FROM part"""
+)
+def f24_transfer_labels(spark, sf):
+    kind = F.when(F.col("p_partkey") % 3 == 0, "pack").otherwise("blob")
+    return fx.table(spark, sf, "part").select("p_partkey", texts.transfer_label(kind, F.col("p_brand"), F.col("p_size") % 3, F.col("p_name")).alias("label"))
+
+
+def _megabytes(k: str) -> str:
+    return f"CASE WHEN {k} = 0 THEN '0 B' ELSE {k} || '.0 MB' END"
+
+
+@_query(
+    f"""SELECT c_custkey, concat_ws(chr(10), 'Version ' || c_custkey,
+      'Files: ' || coalesce(nullif(concat_ws(', ', CASE WHEN n > 0 THEN n || ' new' END, CASE WHEN m > 0 THEN m || ' modified' END,
+        CASE WHEN d > 0 THEN d || ' deleted' || CASE WHEN db > 0 THEN ' (' || {_megabytes('db')} || ')' ELSE '' END END, CASE WHEN u > 0 THEN u || ' unreadable (skipped)' END), ''), 'no changes'),
+      CASE WHEN cb > 0 OR ub > 0 THEN 'Data: ' || {_megabytes('cb')} || ' changed at source → ' || {_megabytes('ub')} || ' uploaded' END,
+      'Retention: ' || nullif(concat_ws(', ', CASE WHEN n > 0 THEN 'retired ' || n || ' version(s)' END,
+        'deleted ' || nullif(concat_ws(' + ', CASE WHEN m > 0 THEN m || ' pack(s)' END, CASE WHEN u > 0 THEN u || ' blob(s)' END), ''), CASE WHEN ub > 0 THEN 'freed ' || {_megabytes('ub')} END), ''),
+      CASE WHEN c_custkey % 6 = 0 THEN 'Cleanup: skipped, will retry next run (busy)' END) AS summary
+    FROM (SELECT c_custkey, c_custkey % 3 AS n, c_nationkey % 2 AS m, c_custkey % 5 AS d, c_custkey % 7 AS db, c_nationkey % 4 AS u, c_custkey % 2 AS cb, c_nationkey % 3 AS ub FROM customer)"""
+)
+def g16_run_summaries(spark, sf):
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    freed = nation % 3 * 1_000_000
+    retention = texts.retention_line(key % 3, nation % 2, nation % 4, freed)
+    summary = texts.run_summary(key, key % 3, nation % 2, key % 5, key % 7 * 1_000_000, nation % 4, key % 2 * 1_000_000, freed, retention, F.when(key % 6 == 0, "busy"))
+    return fx.table(spark, sf, "customer").select("c_custkey", summary.alias("summary"))
