@@ -56,6 +56,17 @@ def greedy_packs(files: DataFrame, groups: list[str], cap: int, max_members: int
     return dealt.mapInPandas(fold, schema)
 
 
+def requeue(changed: DataFrame, threshold: int, max_attempts: int = 5) -> DataFrame:
+    """What becomes of files that changed while they were packed, by their new length and the attempts made before:
+    changed with attempts one higher, lane and gave_up. Files at or over the threshold, and those that have changed
+    max_attempts times, stand alone; the rest keep their lane and go through greedy_packs again, as the next round.
+    A null count of attempts is none."""
+    n = F.coalesce(F.col("attempts"), F.lit(0)) + 1
+    gave_up = n >= max_attempts
+    alone = F.coalesce(F.col("length") >= threshold, F.lit(False)) | gave_up
+    return changed.select(*[c for c in changed.columns if c not in ("attempts", "lane")], n.alias("attempts"), F.when(alone, SINGLE).otherwise(F.col("lane")).alias("lane"), gave_up.alias("gave_up"))
+
+
 def number_packs(packed: DataFrame) -> DataFrame:
     """packed with pack_number from 1: directories in order, compressed packs before stored ones, the cross lane
     last. Only one row a pack is ranked; the counts of packs before a group are summed up over groups."""

@@ -377,6 +377,15 @@ def h07_pack_numbers(spark, sf):
     return packs.number_packs(_packed(spark, sf)).select("path", "pack_number")
 
 
+@_query(
+    f"SELECT path, doc_id % 6 + 1 AS attempts, CASE WHEN length >= {_LARGE} OR doc_id % 6 + 1 >= 5 THEN 'single' ELSE 'directory' END AS lane, doc_id % 6 + 1 >= 5 AS gave_up FROM v1 WHERE kind = 'file'",
+    fx.CTES,
+)
+def h08_requeue(spark, sf):
+    changed = fx.version(spark, sf, 1).where("kind = 'file'").select("path", "length", (F.col("doc_id") % 6).alias("attempts"), F.lit(packs.BY_DIRECTORY).alias("lane"))
+    return packs.requeue(changed, _LARGE).drop("length")
+
+
 @_query("SELECT d AS dir, count(*) AS candidates FROM files WHERE length < 15000 GROUP BY d", fx.CTES, _PACK_CTES.partition("lanes AS")[0].rstrip().rstrip(","))
 def g09_directory_counts(spark, sf):
     return packs.directory_counts(fx.version(spark, sf, 1).where("kind = 'file' and length < 15000"))

@@ -63,6 +63,14 @@ def test_packs_are_sealed_at_each_limit(spark, sizes, limits, want):
     assert [r.pack for r in got] == want
 
 
+def test_changed_members_are_packed_again_until_they_stand_alone(spark):
+    rows = [("a", 10, None), ("b", 10, 3), ("c", 10, 4), ("d", 100, 0), ("e", None, 1)]
+    changed = spark.createDataFrame(rows, "path string, length long, attempts int").withColumn("lane", F.lit("directory"))
+    got = {r.path: (r.attempts, r.lane, r.gave_up) for r in packs.requeue(changed, 100).collect()}
+    assert got == {"a": (1, "directory", False), "b": (4, "directory", False), "c": (5, "single", True), "d": (1, "single", False), "e": (2, "directory", False)}
+    assert packs.requeue(changed.limit(0), 100).collect() == []
+
+
 @pytest.mark.parametrize("mode,keep,days,ages,want", [("VersionOnly", 3, 0, [50, 40, 30, 20, 10], [1, 2]), ("TimeOnly", 0, 180, [365, 45, 5], [1]), ("Either", 2, 180, [900, 400, 5], [1, 2]), ("Both", 2, 180, [900, 400, 5], [1]), ("VersionOnly", 0, 0, [9], [])])
 def test_retention(spark, mode, keep, days, ages, want):
     now = datetime.datetime(2026, 7, 16)
