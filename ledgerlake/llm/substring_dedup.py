@@ -13,20 +13,21 @@ from pyspark.sql import functions as F
 from .common import read_table, written
 from .shingles import mix
 
-#: A chunk ends where the lowest MASK_BITS bits of (the rolling hash's upper half) are zero, but not within MIN bytes
-#: of its start, and at MAX bytes at the latest: about 60 bytes in the mean.
-MIN, MASK_BITS, MAX = 24, 5, 256
+#: Chunks end at the smallest rolling hash of each stretch of MAX bytes, so they have MIN to MAX bytes, about 29 in the
+#: mean. Where two texts have the same L bytes, their ends are the same from _REACH + MAX bytes after the passage's
+#: start to MAX bytes before its end: L - 2 * MAX - _REACH bytes or more are whole chunks of both.
+MIN, MAX = 1, 56
 #: Repeated chunks are taken out where a run of them has this many bytes at least.
 MIN_RUN = 128
-#: The hash looks back over this many bytes, so equal bytes have equal ends from there on.
-_REACH = 32
+#: The hash looks back over this many bytes, so equal bytes have equal hashes from there on.
+_REACH = 8
 _GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(0x1F83D9ABFB41BD6B)) >> np.uint64(32)).astype(np.uint32)
 
 
 def cuts(data: bytes) -> list[int]:
     """Ends of the chunks of data: [end, ...], the last is len(data)."""
     size = len(data)
-    if size <= MIN:
+    if size <= MAX:
         return [size] if size else []
     h = _GEAR[np.frombuffer(data, np.uint8)]
     # h[i] = sum of gear[byte i - k] << k over the last _REACH bytes, by doubling
@@ -34,21 +35,23 @@ def cuts(data: bytes) -> list[int]:
     while reach < _REACH:
         h[reach:] += h[:-reach] << np.uint32(reach)
         reach *= 2
-    ends = (np.flatnonzero((h >> np.uint32(32 - MASK_BITS)) == 0) + 1).tolist()
-    out, last = [], 0
-    for e in ends:
-        if e - last < MIN:
+    # key[i] = (hash, place) of the smallest hash in the MAX places from i on, by doubling; the first place wins ties
+    key = (h.astype(np.uint64) << np.uint64(32)) | np.arange(size, dtype=np.uint64)
+    width = 1
+    while width < MAX:
+        step = min(width, MAX - width)
+        key = np.minimum(key[:-step], key[step:])
+        width += step
+    key = key[np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))]
+    places, hashes = (key & np.uint64(0xFFFFFFFF)).astype(np.int64).tolist(), (key >> np.uint64(32)).tolist()
+    out, before = [], -1
+    for place, value in zip(places, hashes, strict=True):
+        # in runs of one byte all hashes are alike: these are cut each MAX bytes
+        if value == before and place + 1 - out[-1] < MAX:
             continue
-        while e - last > MAX:
-            last += MAX
-            out.append(last)
-        if e - last >= MIN:
-            out.append(e)
-            last = e
-    while size - last > MAX:
-        last += MAX
-        out.append(last)
-    if last < size:
+        out.append(place + 1)
+        before = value
+    if out[-1] < size:
         out.append(size)
     return out
 
@@ -59,7 +62,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def table(batch=batch):
             return pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(ends, pa.int32()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary())], ["id", "chunk", "ending", "size", "digest"]
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(ends, pa.int32()), pa.array(sizes, pa.int32()), *(pa.array(x) for x in np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T.copy())],
+                ["id", "chunk", "ending", "size", "h1", "h2"],
             )
 
         for row, text in enumerate(batch.column(1)):
@@ -80,9 +84,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk, ending, size, digest): the chunks of each text in order, by UTF-8 bytes."""
+    """(id, chunk, ending, size, h1, h2): the chunks of each text in order, by UTF-8 bytes; h1 and h2 are the digest."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(_chunks, f"id {own.schema['id'].dataType.simpleString()}, chunk int, ending int, size int, digest binary")
+    return own.mapInArrow(_chunks, f"id {own.schema['id'].dataType.simpleString()}, chunk int, ending int, size int, h1 long, h2 long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
@@ -90,13 +94,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The first place of a digest, by id and chunk number, is kept; later places are repeats. Spans are runs of
     consecutive repeats of min_run bytes or more. Digests are counted before anything is joined, so a chunk that a
-    third of all documents have is one row by then. Rows with equal ids count as one document's rows: the same chunk
+    third of all documents have is one row by then. Texts are chunked twice, which costs less than storing all chunks. Rows with equal ids count as one document's rows: the same chunk
     of a repeated row is the kept place, not a repeat. Rows with a null id have no spans and keep no digest.
     """
-    chunks = written(chunk_table(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "chunks")
+    chunks = chunk_table(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    # half digests that occur once, nearly all, go first; what is left is compared by whole digests
+    twice = chunks.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
+    some = written(chunks.join(twice, "h1", "left_semi"), "chunks")
     place = F.struct("id", "chunk")
-    first = chunks.groupBy("digest").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("digest", "low")
-    repeats = chunks.join(first, "digest").where(place != F.col("low")).select("id", "chunk", "ending", "size").distinct()
+    first = some.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("h1", "h2", "low")
+    repeats = some.join(first, ["h1", "h2"]).where(place != F.col("low")).select("id", "chunk", "ending", "size").distinct()
     runs = (
         repeats.selectExpr("id", "ending", "size", "chunk - row_number() OVER (PARTITION BY id ORDER BY chunk) AS run")
         .groupBy("id", "run")

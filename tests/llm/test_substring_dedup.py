@@ -1,5 +1,7 @@
 import random
 
+import pyarrow.parquet as pq
+
 from ledgerlake.llm.substring_dedup import MAX, MIN, cuts, op7_substring_dedup, remove_repeats, repeated_spans
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +59,19 @@ def test_passages_and_edges(spark):
     assert out[0].text == rows[0][1] and out[100].removed_bytes == 0 and out[101].text is None and out[None].text == passage
     assert all(len(out[i].text.encode()) + out[i].removed_bytes == len(rows[i][1].encode()) for i in range(40))
     assert repeated_spans(df.select("doc_id", "text").limit(0)).collect() == []
+
+
+def test_passages_of_51_words_in_two_documents():
+    words = [w for t in sample_texts() for w in t.split()]
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    missed = 0
+    for _ in range(1000):
+        passage = text(51)
+        rows = [(i, f"{text(rng.randint(20, 80))} {passage} {text(rng.randint(20, 80))}") for i in range(2)]
+        missed += not brute(rows).get(1)
+    assert missed == 0
+
+
+def sample_texts():
+    return [t for t in pq.read_table(f"{SF}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
