@@ -20,7 +20,14 @@ VERSION = "WARC/1.1"
 NO_DATE = "1970-01-01T00:00:00Z"
 #: The response's named fields that its derivatives carry along.
 SOURCE_FIELDS = ("WARC-Target-URI", "WARC-Date", "WARC-Warcinfo-ID", "WARC-IP-Address")
-_SKIPPED = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)")
+# What isn't shown. Only comments, scripts and styles run to the end of a page that doesn't close them.
+_COMMENT = r"<!--.*?(?:-->|\Z)"
+_SCRIPT = r"<(?P<{0}>script|style)\b.*?(?:</(?P={0})\s*>|\Z)"
+_SKIPPED = re.compile(rf"(?is){_COMMENT}|{_SCRIPT.format('s')}|<(?P<open>noscript|template|head)(?=[\s/>])[^>]*>")
+#: What stands in a head. It ends at its end tag, or where anything else comes.
+_IN_HEAD = re.compile(rf"(?is)\s+|{_COMMENT}|{_SCRIPT.format('s')}|<(?P<open>noscript|template)(?=[\s/>])[^>]*>|<title\b[^>]*>(?:(?:(?!</?(?:title|head|body)\b).)*+</title\s*>|[^<]*)|</?(?:meta|link|base|basefont|bgsound|noscript|template|title)\b[^>]*>|(?P<end></head\s*>)")
+#: Where a noscript or template ends, or shows that it was never closed.
+_CLOSING = {"noscript": re.compile(r"(?i)(?P<end></noscript\s*>)|<noscript\b|<body\b"), "template": re.compile(r"(?i)(?P<end></template\s*>)|<body\b")}
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
 _LINK = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 _BLOCK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|nav|header|footer|blockquote|pre|td|th|dd|dt|hr)\b[^>]*>")
@@ -76,16 +83,49 @@ def response_record(key: str, url: str, body: str, date: str) -> bytes:
     return write_record(fields, block)
 
 
+def _head_end(source: str, at: int, closed) -> int:
+    while m := _IN_HEAD.match(source, at):
+        at = m.end()
+        if m["end"]:
+            break
+        if m["open"]:
+            at = closed(m["open"].lower(), at) or at
+    return at
+
+
+def _shown(source: str) -> str:
+    """The source without what isn't shown. An unclosed noscript or template hides nothing but its tag."""
+    open_from: dict[str, int] = {}  # from here on a kind has no end tag
+
+    def closed(kind: str, at: int) -> int | None:
+        if at >= open_from.get(kind, len(source) + 1):
+            return None
+        found = _CLOSING[kind].search(source, at)
+        if found is None:
+            open_from[kind] = at
+        return found.end() if found and found["end"] else None
+
+    parts, done, at = [], 0, 0
+    while m := _SKIPPED.search(source, at):
+        at, kind = m.end(), (m["open"] or "").lower()
+        if kind == "head":
+            at = _head_end(source, at, closed)
+        elif kind:
+            at = closed(kind, at) or at
+        parts.append(source[done : m.start()])
+        done = at
+    return " ".join([*parts, source[done:]])
+
+
 def plain_text(source: str) -> str:
     """The text a reader sees: scripts, styles, head and comments go, blocks part lines, runs of blanks are one."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _SKIPPED.sub(" ", source)))
+    text = _TAG.sub("", _BLOCK.sub("\n", _shown(source)))
     return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
 
 
 def outlinks(source: str) -> list[str]:
     """Targets of links as they are written, first ones first, each once."""
-    shown = _SKIPPED.sub(" ", source)
-    return list(dict.fromkeys(field_value(html.unescape(a or b or c).strip()) for a, b, c in _LINK.findall(shown)))
+    return list(dict.fromkeys(field_value(html.unescape(a or b or c).strip()) for a, b, c in _LINK.findall(_shown(source))))
 
 
 def derive(response: bytes) -> tuple[bytes, bytes]:

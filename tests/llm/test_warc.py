@@ -1,7 +1,7 @@
 import base64
 import hashlib
 
-from ledgerlake.llm.warc import build_derivatives, op10_warc_derivatives, read_records
+from ledgerlake.llm.warc import build_derivatives, op10_warc_derivatives, outlinks, plain_text, read_records
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +40,15 @@ def test_edges(spark):
     same = [bytes(r.conversion) for r in out if r.page_id == 3]
     assert same[0] == same[1]
     assert build_derivatives(df.limit(0)).collect() == []
+
+
+def test_unclosed_heads_and_templates():
+    rest = '<p>Hi <a href="/x">you</a></p>'
+    head = "<!-- c --><title>T</title><meta charset=utf-8><script>a<p></script><style>b</style>"
+    for page in (
+        f"<html><head>{head}<body>{rest}", f"<head>{head}{rest}", f"<HEAD>{head}</head>{rest}", f"<head><title>T{rest}", f"<noscript>{rest}", f"<template>{rest}",
+        f"<head><noscript><link href=y></noscript>{rest}", f"<head><noscript>{head}<body>{rest}<noscript>no</noscript>", f"{rest}<script>x", f"{rest}<!-- x", f"{rest}<template>no</template>",
+    ):
+        assert (plain_text(page), outlinks(page)) == ("Hi you", ["/x"]), page
+    assert plain_text("<head><title>T</title>Hi") == "Hi" and plain_text("<header>Hi</header>") == "Hi"
+    assert plain_text("<template>" * 50000 + "Hi") == "Hi"
