@@ -8,6 +8,7 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.ml import PipelineModel
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import read_table, written
 
-#: A candidate is a run of at least this many characters that keys are made of, with a digit in it.
-MIN_LENGTH = 16
-_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}")
-_DIGIT = re.compile("[0-9]")
+#: A candidate is a run of at least this many characters that keys are made of, or a run of any length where a value
+#: stands (after a sign or a quote). '=' belongs to it as padding at its end only.
+MIN_LENGTH = 8
+_KEY = r"[A-Za-z0-9+/_-]"
+_RUN = re.compile(rf"(?<!{_KEY})(?:{_KEY}{{{MIN_LENGTH},}}|(?:(?<=[=:\"'`])|(?<=[=:] )){_KEY}+)(?:={{1,2}}(?![A-Za-z0-9+/_=\"'`-]))?")
 _NEIGHBOURS = 48
 #: Findings that the forest is trained from, made by labelled_findings.
 N_FINDINGS = 4000
@@ -30,13 +32,16 @@ FEATURES = ["length", "entropy", "transitions", "digits", "hexadecimal", "dictio
 # Short words and syllables that ordinary identifiers are made of.
 _WORDS = ("the", "and", "for", "with", "from", "data", "file", "user", "name", "item", "page", "test", "list", "table", "index", "value", "image", "http", "www", "com", "net", "org", "html", "example", "ing", "tion", "ment", "able", "ent", "ion", "ers", "lich", "keit", "ung", "schen", "ado", "ción", "mente", "eau", "aux", "elle")
 _SECRET_WORDS = re.compile(r"(?i)\b\w*(?:token|secret|passw|api_?key|access_?key|private|credential|auth|bearer)\w*\b")
+#: What keys of known services begin with; such a key needs no word before it.
+_KEY_PREFIX = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|[sr]k_(?:live|test)_|sk-|xox[abprs]-|AIza|npm_|hf_|eyJ)")
 _HARMLESS_WORDS = re.compile(r"(?i)\b(?:commit|sha\d*|md5|uuid|checksum|digest|etag|rev|revision|build|page|id|isbn|order|phone|card)\b")
 _KINDS = {**dict.fromkeys(string.ascii_lowercase, 0), **dict.fromkeys(string.ascii_uppercase, 1), **dict.fromkeys(string.digits, 2)}
 _PATHLIKE = re.compile(r"(?i)(?:https?://|www\.|[./\\][\w-]+/|\.(?:html?|php|png|jpe?g|js|css)\b)")
 
 
-def measure(found: str, before: str, after: str, path: str) -> list[float]:
-    """FEATURES of a candidate, from itself, what stands around it, and the path (or source) of its text."""
+@lru_cache(100_000)
+def _own(found: str) -> tuple[float, ...]:
+    """What a candidate's own characters say: length, entropy, transitions, digits, hexadecimal, dictionary, same_char."""
     counts, n = Counter(found), len(found)
     kinds = [_KINDS.get(c, 3) for c in found]
     low = found.lower()
@@ -46,20 +51,34 @@ def measure(found: str, before: str, after: str, path: str) -> list[float]:
         while at >= 0:
             covered[at : at + len(w)] = b"\1" * len(w)
             at = low.find(w, at + 1)
-    near = before[-_NEIGHBOURS:]
-    return [
+    return (
         float(min(n, 256)),
         -sum(c / n * math.log2(c / n) for c in counts.values()),
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
         kinds.count(2) / n,
         float(all(c in "0123456789abcdef" for c in low)),
         sum(covered) / n,
-        float(bool(_PATHLIKE.search(near[-12:] + found)) or bool(re.search(r"(?i)\b(?:test|example|sample|doc)s?\b", path))),
+        max(counts.values()) / n,
+    )
+
+
+@lru_cache(10_000)
+def _documented(path: str) -> bool:
+    return bool(re.search(r"(?i)\b(?:test|example|sample|doc)s?\b", path))
+
+
+def measure(found: str, before: str, after: str, path: str) -> list[float]:
+    """FEATURES of a candidate, from itself, what stands around it, and the path (or source) of its text."""
+    *own, same_char = _own(found)
+    near = before[-_NEIGHBOURS:]
+    return [
+        *own,
+        float(bool(_PATHLIKE.search(near[-12:] + found)) or _documented(path)),
         float(bool(re.search(r"[=:]\s*[\"'`]?\s*\Z", near))),
         float(near[-1:] in "\"'`" and near != "" and after[:1] in "\"'`" and after != ""),
-        float(bool(_SECRET_WORDS.search(near))),
+        float(bool(_SECRET_WORDS.search(near) or _KEY_PREFIX.match(found))),
         float(bool(_HARMLESS_WORDS.search(near))),
-        max(counts.values()) / n,
+        same_char,
     ]
 
 
@@ -72,11 +91,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             for m in _RUN.finditer(text):
                 a, b = m.span()
-                if _DIGIT.search(m[0]):
-                    rows.append(row)
-                    starts.append(a)
-                    ends.append(b)
-                    measures.append(measure(m[0], text[max(0, a - _NEIGHBOURS) : a], text[b : b + 1], path.as_py() or ""))
+                rows.append(row)
+                starts.append(a)
+                ends.append(b)
+                measures.append(measure(m[0], text[max(0, a - _NEIGHBOURS) : a], text[b : b + 1], path.as_py() or ""))
         columns = list(zip(*measures, strict=True)) if measures else [[] for _ in FEATURES]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), *(pa.array(c, pa.float64()) for c in columns)], ["id", "start", "end", *FEATURES]
@@ -94,17 +112,30 @@ def candidate_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _finding(number: int) -> tuple[str, str, str, str, int]:
-    """(found, before, after, path, label) of a labelled finding: every other one is a secret."""
+    """(found, before, after, path, label) of a made-up line: in every other one found is a secret."""
     rng = random.Random(f"finding {number}")
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
-    filler = " ".join(pick(string.ascii_lowercase, rng.randint(2, 9)) for _ in range(4))
+    filler = " ".join(pick(string.ascii_lowercase, rng.choice([2, 3, 4, 5, 6, 7, 8, 9, 11, 14])).capitalize() if rng.randrange(5) == 0 else pick(string.ascii_lowercase, rng.choice([2, 4, 6, 8, 9, 12])) for _ in range(5))
     path = f"src{rng.randrange(40)}"
     if number % 2:
         alphabet = rng.choice(["0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits])
         found = pick(alphabet, rng.choice([20, 24, 32, 36, 40, 40, 48, 64]))
+        form = rng.randrange(8)
+        if form == 0:  # keys that need no word
+            prefix, chars, n = rng.choice([("AKIA", string.ascii_uppercase + string.digits, 16), ("ghp_", string.ascii_letters + string.digits, 36), ("sk_live_", string.ascii_letters + string.digits, 24), ("xoxb-", string.digits, 12), ("AIza", string.ascii_letters + string.digits + "_-", 35)])
+            return prefix + pick(chars, n), f"{filler} {rng.choice(['', '(', 'key '])}", rng.choice([" ", ".", ")", ","]), path, 1
+        if form == 1:  # mixed characters with no word before them
+            return pick(string.ascii_letters + string.digits, rng.choice([32, 40, 48, 64])), f"{filler} ", rng.choice([" ", ".", ","]), path, 1
         word = rng.choice(["token", "secret", "api_key", "apikey", "password", "access_key", "auth_token", "client_secret", "private_key"])
-        sign = rng.choice([" = ", "=", ": ", " := "])
-        quote = rng.choice(['"', "'", '"', ""])
+        word = rng.choice([word, word, word.upper()])
+        if form == 2:  # addresses
+            return found, f"{filler} https://www.{pick(string.ascii_lowercase, 6)}.com/{pick(string.ascii_lowercase, 4)}?{rng.choice(['', 'id=7&'])}{word}=", rng.choice([" ", "&", "#"]), path, 1
+        if form == 3:  # short ones
+            found = pick(string.ascii_letters + string.digits, rng.choice([8, 10, 12, 14]))
+        if form == 4 and rng.randrange(2):
+            found += rng.choice(["=", "=="])
+        sign = rng.choice([" = ", "=", "=", ": ", ":", " := "])
+        quote = rng.choice(['"', "'", "", ""])
         return found, f"{filler} {word}{sign}{quote}", quote or " ", path, 1
     kind = rng.randrange(7)
     words = lambda n, sep: sep.join(rng.choice(_WORDS) for _ in range(n))
@@ -124,15 +155,24 @@ def _finding(number: int) -> tuple[str, str, str, str, int]:
     return words(5, "") + str(rng.randrange(1000)), f'{filler} name = "', '"', "docs/example", 0  # values that are words
 
 
+def _line(number: int) -> Iterator[tuple[list[float], float]]:
+    """(measures, label) of each candidate of the made-up line, as candidate_table cuts them; label 1: the secret."""
+    found, before, after, path, label = _finding(number)
+    text = before + found + after
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        yield measure(m[0], text[max(0, a - _NEIGHBOURS) : a], text[b : b + 1], path), float(label and m.span() == (len(before), len(before) + len(found)))
+
+
 def labelled_findings(spark: SparkSession, n: int = N_FINDINGS) -> DataFrame:
-    """(number, FEATURES..., label) of n made-up labelled findings, half of them secrets, alike in every session."""
+    """(number, FEATURES..., label) of the candidates of n made-up lines, half of which hold a secret, alike in every
+    session."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            made = [_finding(i) for i in ids]
-            columns = zip(*(measure(*x[:4]) for x in made), strict=True) if made else [[] for _ in FEATURES]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.float64()) for c in columns), pa.array([float(x[4]) for x in made], pa.float64())], ["number", *FEATURES, "label"])
+            made = [(i, *x) for i in batch.column(0).to_pylist() for x in _line(i)]
+            columns = zip(*(x[1] for x in made), strict=True) if made else [[] for _ in FEATURES]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), *(pa.array(c, pa.float64()) for c in columns), pa.array([x[2] for x in made], pa.float64())], ["number", *FEATURES, "label"])
 
     schema = "number long, " + ", ".join(f"{f} double" for f in FEATURES) + ", label double"
     return spark.range(0, n, 1, 4).mapInArrow(make, schema)

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 from ledgerlake.llm.secrets import FEATURES, candidate_table, labelled_findings, op2_secret_scan, scan_secrets, train_forest
 
@@ -29,3 +31,24 @@ def test_edges(spark):
     out = [(r.id, r.start, r.end) for r in scan_secrets(df, model).where("p >= 0.5").collect()]
     assert sorted(out, key=str) == sorted([(None, 9, 49), (5, 11, 51), (5, 62, 102)], key=str)
     assert candidate_table(df.limit(0)).collect() == [] and len(FEATURES) == 12
+
+
+def test_forms_of_keys(spark):
+    rng = random.Random(3)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    hexa, mixed = lambda: pick("0123456789abcdef", 40), lambda: pick(string.ascii_letters + string.digits, 40)
+    forms = {
+        "token": ('token = "', hexa, '"'), "unquoted": ("api_key=", hexa, " "), "upper": ("API_KEY=", mixed, " "), "url": ("see https://a.org/x?token=", hexa, "&b=1"), "letters": ('password = "', lambda: pick(string.ascii_letters, 24), '"'),
+        "aws": ("use ", lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), " "), "github": ("use ", lambda: "ghp_" + pick(string.ascii_letters + string.digits, 36), " "), "padded": ("secret=", lambda: mixed() + "==", " "), "short": ("password=", lambda: pick(string.ascii_letters + string.digits, 12), " "),
+    }
+    rows, want = [], {}
+    for name, (before, key, after) in forms.items():
+        for k in range(50):
+            found = key()
+            want[f"{name} {k}"] = (len(before) + 5, len(before) + 5 + len(found))
+            rows.append((f"{name} {k}", f"line {before}{found}{after}", "p"))
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    model = train_forest(labelled_findings(spark).drop("number"))
+    got = {(r.id, r.start, r.end) for r in scan_secrets(df, model).where("p >= 0.5").collect()}
+    caught = {name: sum((i, *want[i]) in got for i in want if i.split()[0] == name) for name in forms}
+    assert min(caught.values()) >= 45, caught
