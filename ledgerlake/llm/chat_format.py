@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import let, read_table, running
 
 OPEN, ROLE, SAID, END = "<s>\n", "[INST] ", " [/INST]\n", "\n</s>\n"
 CONTROL = r"(</?s>|\[/?INST\]|<</?SYS>>)"
@@ -75,27 +75,48 @@ def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     turns = turns.select("conv_id", "turn", "role", "text", F.when(unread, F.raise_error(F.lit("a turn does not read back as it was"))).otherwise(F.col("as_role")).alias("as_role"), "as_text")
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "as_role", "as_text"))).alias("turns"))
 
-    def step(done: Column, t: Column) -> Column:
-        start = done["at"] + F.length(t["as_role"]) + len(ROLE) + len(SAID)
-        end = start + F.length(t["as_text"])
-        span = F.when(t["role"] == learn_role, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        return F.struct((end + len(END)).alias("at"), F.concat(done["spans"], span).alias("spans"))
+    def spans(ts: Column) -> Column:
+        around = len(ROLE) + len(SAID) + len(END)
+        before = running(F.transform(ts, lambda t: F.length(t["as_role"]) + F.length(t["as_text"]) + around), lambda a, b: a + b)
+
+        def place(z: Column) -> Column:
+            start = z["at"] + F.length(z["t"]["as_role"]) + len(OPEN) + len(ROLE) + len(SAID)
+            return F.struct(start.alias("start"), (start + F.length(z["t"]["as_text"])).alias("end"))
+
+        return F.transform(F.filter(F.arrays_zip(ts.alias("t"), before.alias("at")), lambda z: z["t"]["role"] == learn_role), place)
 
-    zero = F.struct(F.lit(len(OPEN)).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     return chats.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.concat(F.lit(OPEN), F.array_join(F.transform("turns", lambda t: render_turn(t["as_role"], t["as_text"])), "")).alias("formatted"),
-        F.aggregate("turns", zero, step)["spans"].alias("loss_spans"),
+        spans(F.col("turns")).alias("loss_spans"),
     )
 
 
+#: A formatted conversation is cut into parts of this many code points before pieces of them are taken by place.
+_PART = 1024
+
+
+def pieces(text: Column, spans: Column) -> Column:
+    """array<string>: the text of each [start, end) span. Taking a piece walks over its own parts alone."""
+
+    def of(parts: Column) -> Column:
+        def piece(s: Column) -> Column:
+            first = F.floor(s["start"] / _PART).cast("int")
+            some = F.slice(parts, first + 1, F.floor((s["end"] - 1) / _PART).cast("int") - first + 1)
+            return F.when(s["end"] > s["start"], F.substring(F.array_join(some, ""), s["start"] - first * _PART + 1, s["end"] - s["start"])).otherwise(F.lit(""))
+
+        return F.transform(spans, piece)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0)), of)
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
     chats = format_chats(rows.unionByName(extra)).withColumn("back", parse(F.col("formatted")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
+    loss = F.array_join(F.transform(pieces(F.col("formatted"), F.col("loss_spans")), unescape), "")
     return chats.withColumn("loss", loss).select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),

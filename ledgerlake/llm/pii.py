@@ -8,10 +8,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns_free_of, read_table, written
+from .common import columns_free_of, let, read_table, running, written
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. Possessive parts and the look-behinds keep each search linear in the text; they match at the same
@@ -22,24 +22,43 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What else may be of a kind; the classifier decides on these.
+#: What else may be of a kind; the classifier decides on these: addresses that are spelt out, addresses with bracketed
+#: dots or of version 6, numbers that fail Luhn's check, numbers without a country's prefix.
 WIDER = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]\x20?(?:dot|DOT)\x20?[\])])\x20?[A-Za-z0-9-]{2,63}+){1,5}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[\[(]\x20?(?:dot|DOT)\x20?[\])])\x20?[A-Za-z0-9-]{2,63}+){1,5}+|\x20(?:at|AT)\x20[A-Za-z0-9-]{1,63}+(?:\x20(?:dot|DOT)\x20[A-Za-z0-9-]{2,63}+){1,5}+)",
+    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9]{1,3}(?:(?:\.|\x20?[\[(](?:\.|dot|DOT)[\])]\x20?)[0-9]{1,3}){3}(?![0-9A-Za-z])|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:]))",
     "card": BASE["card"],
-    "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|0[0-9]{1,4}|[0-9]{3})[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9A-Za-z-])",
+    "phone": r"(?<![0-9A-Za-z+.-])(?:(?:\([0-9]{2,5}\)|0[0-9]{1,4}|[0-9]{3})[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9A-Za-z-])",
 }
-#: A character that every match of a kind has; texts without it are not searched.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-# Words that stand before personal data, by kind, in the languages of the corpus.
+
+
+def _may_have(kind: str, base: bool, text: Column) -> Column:
+    """Whether a text has the characters that every match of a kind has; other texts are not searched."""
+    has = lambda *parts: reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
+    if base and kind in ("email", "ip", "phone"):
+        return has({"email": "@", "ip": ".", "phone": "+"}[kind])
+    if kind == "email":
+        return has("at)", "at]", "AT)", "AT]", "at )", "at ]", "AT )", "AT ]", " dot ", " DOT ")
+    if kind == "ip":
+        return has("[", "(", "::") | text.rlike("(?:[0-9A-Fa-f]{1,4}:){7}")
+    return text.rlike("[0-9]")
+
+
+#: Words that stand before personal data, by kind. find_pii adds those that the corpus itself shows.
 GAZETTEER = {
-    "email": "mail|email|e-mail|contact|write|correo|kontakt|courriel",
-    "ip": "ip|server|host|address|addr|client|servidor|adresse",
-    "card": "card|visa|mastercard|amex|credit|debit|payment|tarjeta|karte|carte",
-    "phone": "tel|phone|call|mobile|fax|cell|telefon|telefono|teléfono|téléphone|fon|whatsapp",
+    "email": "mail email e-mail mailto mailbox inbox contact contacts write reach reply respond correo contacto escribir kontakt kontaktieren schreiben courriel courrier contactez adresse address cc bcc newsletter support helpdesk sender recipient absender empfänger remitente destinatario expéditeur destinataire".split(),
+    "ip": "ip ipv4 ipv6 server host hostname address addr client gateway router dns ping ssh subnet node peer proxy firewall endpoint login logged connection from servidor dirección cliente serveur adresse hôte passerelle rechner knoten verbindung source destination remote listen bind".split(),
+    "card": "card cards visa mastercard amex discover maestro credit debit payment pay paid charge charged billing pan cvv cvc expiry tarjeta crédito débito pago pagar karte kreditkarte zahlung bezahlt carte bancaire crédit paiement payer kartennummer".split(),
+    "phone": "tel telephone phone phones call calls dial mobile cell cellphone fax hotline sms text whatsapp telefon telefonnummer handy anrufen rufnummer telefono teléfono móvil llamar llame téléphone portable appeler appelez fon number nummer número numéro".split(),
 }
 LABELERS = ("pattern", "valid", "gazetteer", "context", "shape")
 _CONTEXT = 32
-_SPANS = "array<struct<start:int,end:int,match:string,before:string>>"
+#: So many words before a span are its context.
+_NEAR = 3
+#: A word joins a kind's gazetteer where it stands before LEARN_ROWS of its sure spans at least, and makes up LEARN_TIMES
+#: the share there that it has before the other kinds' candidates; at most LEARN_WORDS, the commonest, for each kind.
+LEARN_ROWS, LEARN_TIMES, LEARN_WORDS = 20, 8, 200
+_SPAN = "struct<start:int,end:int,match:string,before:string>"
 EM_ROUNDS, FIT_ROUNDS = 40, 400
 
 
@@ -70,37 +89,49 @@ def _holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match, before>> of a pattern's matches, in code points: what stands between the
-    matches gives their places. Both arrays are made once for a text, as the fold only sees their elements."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+def _matches(text: Column, pattern: str) -> Column:
+    """array<struct<m, p>>: each match and what stands before it, and last what is left, with m null."""
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"), F.right(x["p"], F.lit(_CONTEXT)).alias("before"))
-        return F.when(x["m"].isNull(), done).otherwise(F.struct(end.alias("at"), F.concat(done["out"], F.array(span)).alias("out")))
 
-    return F.aggregate(pairs, zero, step)["out"]
+def _spans(pairs: Column) -> Column:
+    """array<struct<start, end, match, before>> of _matches, in code points: what stands between gives the places."""
+
+    def placed(x: Column) -> Column:
+        start = x["at"] + F.length(x["x"]["p"])
+        return F.struct(start.alias("start"), (start + F.length(x["x"]["m"])).alias("end"), x["x"]["m"].alias("match"), F.right(x["x"]["p"], F.lit(_CONTEXT)).alias("before"))
+
+    sizes = F.transform(pairs, lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
+    return F.filter(F.transform(F.arrays_zip(pairs.alias("x"), running(sizes, lambda a, b: a + b).alias("at")), placed), lambda s: s["match"].isNotNull())
+
+
+def _masked(kind: str, pairs: Column) -> Column:
+    """The text of _matches with those that hold replaced by as many control characters, which no pattern takes."""
+    return F.array_join(F.transform(pairs, lambda x: F.concat(x["p"], F.when(x["m"].isNull(), "").when(_holds(kind, x["m"]), F.repeat(F.lit("\x01"), F.length(x["m"]))).otherwise(x["m"]))), "")
 
 
 def _votes(kind: str, base: bool, s: Column) -> list[Column]:
-    """1 for, -1 against, 0 without an opinion; in the order of LABELERS."""
+    """1 for, -1 against, 0 without an opinion; in the order of LABELERS, of which the gazetteer votes later."""
     one, none, against = F.lit(1), F.lit(0), F.lit(-1)
     match, before, digits = s["match"], s["before"], _digits(s["match"])
-    valid = {"email": match.rlike(r"(?i)(?:\.|dot\s?[\])]\s?)[a-z]{2,12}\z"), "ip": match.rlike(r"\A[1-9]"), "card": _luhn(match), "phone": F.length(digits).between(9, 15)}[kind]
+    dotted = F.regexp_replace(match, "[^0-9]+", ".")
+    valid = {
+        "email": match.rlike(r"(?i)(?:\.|dot\s?[\])]?\s?)[a-z]{2,12}\z"),
+        "ip": F.contains(match, F.lit(":")) | (_holds("ip", dotted) & dotted.rlike(r"\A[1-9]")),
+        "card": _luhn(match),
+        "phone": F.length(digits).between(9, 15),
+    }[kind]
     shape = {
         "email": F.when(F.length(match) <= 64, one).otherwise(against),
-        "ip": F.when(match.rlike(r"\A(?:0|127)\."), against).otherwise(none),
+        "ip": F.when(match.rlike(r"\A(?:0|127)\.|\A::1\z"), against).when(match.rlike(r"[\[(:]"), one).otherwise(none),
         "card": F.when(match.rlike(r"\A[3-6][0-9]{3}(?:[\x20-]?[0-9]{4}){3}\z"), one).when(digits.rlike(r"\A(.)\1+\z"), against).otherwise(none),
         "phone": F.when(match.startswith("+"), one).when(match.rlike(r"[()/]"), one).otherwise(none),
     }[kind]
     return [
         one if base else none,
         F.when(valid, one).otherwise(against),
-        F.when(before.rlike(rf"(?i)\b(?:{GAZETTEER[kind]})\b"), one).otherwise(none),
-        F.when(before.rlike(r"""(?i)(?:[=#$%&"/_]|\b(?:token|id|sha|hash|version|v))\s?\z"""), against).otherwise(none),
+        none,
+        F.when(before.rlike(r"""(?i)(?:[=#$%&"/_]|\b(?:token|id|sha|hash|version|ver|v|release|build|isbn|issn|order|invoice|sku|serial|section))\s?[:#.]?\s?\z"""), against).otherwise(none),
         shape,
     ]
 
@@ -113,27 +144,73 @@ def _labelled(place: int, base: bool):
     def labelled(s: Column) -> Column:
         size = F.least(F.lit(8), F.floor(F.length(s["match"]) / 4)).cast("int")
         votes = F.array(*_votes(KINDS[place], base, s))
-        return F.struct(F.lit(place).alias("kind"), F.lit(base).alias("base"), s["start"].alias("start"), s["end"].alias("end"), size.alias("size"), votes.alias("votes"))
+        words = F.filter(F.split(F.lower(s["before"]), r"[^\p{L}0-9-]+"), lambda w: w != "")
+        near = F.slice(F.reverse(words), 1, _NEAR)
+        return F.struct(F.lit(place).alias("kind"), F.lit(base).alias("base"), s["start"].alias("start"), s["end"].alias("end"), size.alias("size"), votes.alias("votes"), near.alias("near"))
 
     return labelled
 
 
+_CANDIDATE = "struct<kind:int,base:boolean,start:int,end:int,size:int,votes:array<int>,near:array<string>>"
+
+
+def _of_kind(place: int, text: Column) -> Column:
+    """All candidates of a kind in a text: base spans, then wider ones, which are sought in what base spans leave."""
+    kind = KINDS[place]
+    base, wider = _labelled(place, True), _labelled(place, False)
+    none = F.array().cast(f"array<{_CANDIDATE}>")
+    if kind == "card":  # the wider spans are the same matches that fail
+        both = lambda found: F.concat(F.transform(F.filter(found, lambda s: _luhn(s["match"])), base), F.transform(F.filter(found, lambda s: ~_luhn(s["match"])), wider))
+        return F.when(_may_have(kind, True, text), let(_matches(text, BASE[kind]), lambda pairs: let(_spans(pairs), both))).otherwise(none)
+    more = F.when(_may_have(kind, False, text), let(_matches(text, WIDER[kind]), lambda w: F.transform(_spans(w), wider))).otherwise(none)
+    left = lambda t: F.when(_may_have(kind, False, t), let(_matches(t, WIDER[kind]), lambda w: F.transform(_spans(w), wider))).otherwise(none)
+    found = let(_matches(text, BASE[kind]), lambda pairs: F.concat(F.transform(F.filter(_spans(pairs), _holding(kind)), base), let(_masked(kind, pairs), left)))
+    return F.when(_may_have(kind, True, text), found).otherwise(more)
+
+
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `spans`: all candidates with kind (its place in KINDS), base, start, end, size and votes. Base spans
-    are the base pattern's matches that hold; the rest are matches of the wider patterns apart from those."""
+    """docs with `spans`: all candidates with kind (its place in KINDS), base, start, end, size, votes and near (the
+    words before it, nearest first). Base spans are the base pattern's matches that hold; the rest are matches of the
+    wider patterns that overlap no base span of their kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = columns_free_of(docs, ["spans"])
-    parts = []
-    for place, kind in enumerate(KINDS):
-        for base, pattern in ((True, BASE[kind]), (False, WIDER.get(kind))):
-            if pattern is None:
-                continue
-            found = _found(text, pattern)
-            needed = F.contains(text, F.lit(NEEDS[kind])) if base and NEEDS[kind] else F.contains(text, F.lit("(")) | F.contains(text, F.lit("[")) if kind == "email" else text.rlike("[0-9]")
-            held = F.filter(found, _holding(kind)) if base else F.filter(found, lambda s: ~_luhn(s["match"])) if kind == "card" else found
-            empty = F.array().cast("array<struct<kind:int,base:boolean,start:int,end:int,size:int,votes:array<int>>>")
-            parts.append(F.when(needed, F.transform(held, _labelled(place, base))).otherwise(empty))
-    return out.select("*", F.concat(*parts).alias("spans"))
+    spans = F.concat(*[_of_kind(place, text) for place in range(len(KINDS))]).cast(f"array<{_CANDIDATE}>")
+    return columns_free_of(docs, ["spans"]).select("*", spans.alias("spans"))
+
+
+def learned_gazetteer(found: DataFrame) -> dict[int, list[str]]:
+    """kind -> words of its gazetteer: the given ones, and those that stand before sure spans (base ones that are valid)
+    much oftener than before candidates of other kinds. Words are counted over all candidates; what comes to the driver
+    are LEARN_WORDS words for each kind at most."""
+    spans = found.select(F.explode("spans").alias("s")).select("s.kind", "s.near", (F.col("s.base") & (F.col("s.votes")[1] > 0)).alias("sure"))
+    totals = {r[0]: (r[1], r[2]) for r in spans.groupBy("kind").agg(F.count_if("sure"), F.count(F.lit(1))).collect()}
+    everything = sum(n for _, n in totals.values())
+    counts = spans.select(F.explode(F.array_distinct("near")).alias("word"), "kind", "sure").groupBy("word").pivot("kind", list(range(len(KINDS)))).agg(F.count_if("sure").alias("sure"), F.count(F.lit(1)).alias("n"))
+    out = {place: set(GAZETTEER[kind]) for place, kind in enumerate(KINDS)}
+    told = []
+    for place in out:
+        sure, mine = totals.get(place, (0, 0))
+        if sure and everything > mine:
+            elsewhere = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"{k}_n"), F.lit(0)) for k in out if k != place])
+            told.append(F.when((F.col(f"{place}_sure") >= LEARN_ROWS) & (F.col(f"{place}_sure") / sure >= LEARN_TIMES * (elsewhere + 1) / (everything - mine + 1)), F.struct(F.lit(place).alias("kind"), F.col(f"{place}_sure").alias("sure"))))
+    if told:
+        words = counts.select("word", F.explode(F.array_compact(F.array(*told))).alias("t")).select("word", "t.kind", "t.sure")
+        best = words.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.col("sure").desc(), "word"))).where(F.col("rank") <= LEARN_WORDS)
+        for r in best.select("kind", "word").collect():
+            out[r.kind].add(r.word)
+    return {place: sorted(words) for place, words in out.items()}
+
+
+def _with_gazetteer(words: dict[int, list[str]]):
+    """A span with the gazetteer's vote in its place."""
+    at = LABELERS.index("gazetteer")
+    lists = [F.array(*[F.lit(w) for w in words[k]]) for k in range(len(KINDS))]
+
+    def voted(s: Column) -> Column:
+        hit = reduce(lambda acc, k: F.when(s["kind"] == k, F.arrays_overlap(s["near"], lists[k])).otherwise(acc), range(len(KINDS)), F.lit(False))
+        votes = F.array(*[F.when(hit, 1).otherwise(0) if i == at else s["votes"][i] for i in range(len(LABELERS))])
+        return F.struct(s["kind"].alias("kind"), s["base"].alias("base"), s["start"].alias("start"), s["end"].alias("end"), s["size"].alias("size"), votes.alias("votes"))
+
+    return voted
 
 
 def estimate_reliabilities(patterns: list[tuple[tuple[int, ...], float]]) -> tuple[list[float], float]:
@@ -203,26 +280,28 @@ def _probability(weights: dict[int, list[float]], s: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", name: str = "pii") -> DataFrame:
-    """docs with `spans`: array<struct<kind, base, start, end, p>> ordered by kind, then start; kind is a place in
+    """docs with `spans`: array<struct<kind, start, end, base, p>> ordered by kind, then start; kind is a place in
     KINDS, start and end are code points, p is the classifier's probability.
 
-    Every base span stays, whatever its p; a wider candidate stays with p >= 0.5 if it overlaps no base span of its
-    kind. Candidates are found once and written; vote patterns are counted over all of them. Null and empty texts
-    have no spans; an earlier column `spans` is replaced; empty tables give no rows. A text's spans are gathered in
-    its own row, which is all that grows with a text.
+    Every base span stays, whatever its p; a wider candidate, which overlaps no base span of its kind, stays with
+    p >= 0.5. Candidates are found once and written; gazetteers and vote patterns are counted over all of them. Null
+    and empty texts have no spans; an earlier column `spans` is replaced; empty tables give no rows. A text's spans
+    are gathered in its own row, which is all that grows with a text; time is linear in a text and its matches.
     """
     found = written(candidates(docs, text_col), name)
-    counts = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.size").count().collect()
+    voted = found.withColumn("spans", F.transform("spans", _with_gazetteer(learned_gazetteer(found))))
+    counts = voted.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.size").count().collect()
     weights = fit_classifier([(r[0], tuple(r[1]), r[2], r[3]) for r in counts])
 
     def scored(s: Column) -> Column:
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), _probability(weights, s).alias("p"))
 
-    base = F.filter("spans", lambda s: s["base"])
-    apart = F.filter("spans", lambda s: ~s["base"] & (_probability(weights, s) >= 0.5) & ~F.exists(F.filter("spans", lambda t: t["base"]), lambda t: (t["kind"] == s["kind"]) & (t["start"] < s["end"]) & (s["start"] < t["end"])))
-    # most texts have base spans alone, or none
-    some = F.exists("spans", lambda s: ~s["base"])
-    return found.withColumn("spans", F.array_sort(F.transform(F.when(some, F.concat(base, apart)).otherwise(F.col("spans")), scored)))
+    kept = F.filter(F.transform("spans", scored), lambda s: s["base"] | (s["p"] >= 0.5))
+    return voted.withColumn("spans", F.array_sort(kept))
+
+
+#: Texts are cut into parts of this many code points before pieces of them are taken by place.
+_PART = 1024
 
 
 def redact(docs: DataFrame, text_col: str = "text", name: str = "pii") -> DataFrame:
@@ -231,17 +310,22 @@ def redact(docs: DataFrame, text_col: str = "text", name: str = "pii") -> DataFr
     rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     found = find_pii(docs.select(rest.alias("doc"), F.col(text_col).alias("text")), "text", name)
     text = F.col("text")
-    spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    mark = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def step(done: Column, s: Column) -> Column:
-        between = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(done["text"], between, mark[s["kind"]]).alias("text"))
-        overlapped = F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["text"].alias("text"))
-        return F.when((s["start"] >= done["at"]) | (done["text"] == ""), fresh).otherwise(overlapped)
-
-    clean = F.aggregate(spans, zero, step, lambda d: F.concat(d["text"], F.substring(text, d["at"] + 1, F.length(text))))
+    stop = F.struct(F.length(text).alias("start"), F.length(text).alias("end"), F.lit(len(KINDS)).alias("kind"))
+    spans = F.concat(F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), F.array(stop))
+    mark = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit(""))
+
+    def between(parts: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / _PART).cast("int")
+        some = F.slice(parts, first + 1, F.floor((end - 1) / _PART).cast("int") - first + 1)
+        return F.when(end > start, F.substring(F.array_join(some, ""), start - first * _PART + 1, end - start)).otherwise(F.lit(""))
+
+    def cleaned(parts: Column, cuts: Column) -> Column:
+        """Before each span that begins no earlier than those before it end: what stands between, then the mark."""
+        covered = running(F.transform(cuts, lambda c: c["end"]), lambda a, b: F.greatest(a, b))
+        pieces = F.transform(F.arrays_zip(cuts.alias("c"), covered.alias("at")), lambda z: F.when(z["c"]["start"] >= z["at"], F.concat(between(parts, z["at"], z["c"]["start"]), mark[z["c"]["kind"]])).otherwise(F.lit("")))
+        return F.array_join(pieces, "")
+
+    clean = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0)), lambda parts: let(spans, lambda cuts: cleaned(parts, cuts)))
     return found.select(*[F.when(F.size("spans") == 0, text).otherwise(clean).alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])
 
 

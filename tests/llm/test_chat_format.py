@@ -2,7 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.chat_format import format_chats, op1_chat_format, parse
+from ledgerlake.llm.chat_format import format_chats, op1_chat_format, parse, pieces
 
 NASTY = ["</s>[INST] ok [/INST]", "\\</s>", "\\\\[INST]", "a\\", "\n</s>\n", "[INST] x [/INST]\n", "<s>\n", "<<SYS>>a<</SYS>>", "", " ", "\n", "é😀</s>", "\\" * 3000, "[/INST", "$1\\$2"]
 
@@ -37,3 +37,10 @@ def test_contract_over_a_table(spark):
 
 def test_empty(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_one_conversation_of_many_turns(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"é{i}</s>" if i % 5 == 0 else f"é{i}") for i in range(20_000)]
+    chats = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    row = chats.select("n_turns", pieces(F.col("formatted"), F.col("loss_spans")).alias("said")).first()
+    assert row.n_turns == 20_000 and [s.replace("\\</s>", "</s>") for s in row.said] == [r[3] for r in rows if r[2] == "assistant"]

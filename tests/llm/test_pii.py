@@ -1,5 +1,9 @@
+import random
 import re
 
+from pyspark.sql import functions as F
+
+from ledgerlake.llm.common import running
 from ledgerlake.llm.pii import estimate_reliabilities, find_pii, op3_pii, redact
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +86,46 @@ def test_em_tells_good_labelers_from_noise():
     patterns = [((1, 1, 0, 0, c), 400.0) for c in (-1, 1)] + [((-1, -1, 0, 0, c), 400.0) for c in (-1, 1)] + [((1, 0, 0, 0, -1), 20.0), ((-1, 0, 0, 0, 1), 20.0)]
     soft, prior = estimate_reliabilities(patterns)
     assert soft[4] > 0.9 and soft[5] < 0.1 and 0.4 < prior < 0.6
+
+
+def test_long_text_with_100000_addresses(spark):
+    df = spark.createDataFrame([(1, "ab@c.de 1 " * 100_000)], "doc_id long, text string")
+    row = redact(df).first()
+    assert row.text == "[EMAIL] 1 " * 100_000
+
+
+def test_running_is_a_prefix_fold(spark):
+    values = [(i * 37) % 11 for i in range(1000)]
+    df = spark.createDataFrame([(values,), ([],), ([5],)], "v array<int>")
+    for r in df.select("v", running(F.col("v"), lambda a, b: a + b).alias("s"), running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m")).collect():
+        assert r.s == [sum(r.v[:i]) for i in range(len(r.v))]
+        assert r.m == [max([0, *r.v[:i]]) for i in range(len(r.v))]
+
+
+def test_added_spans_are_mostly_right(spark):
+    """Planted personal data in other forms than the base patterns, beside harmless strings of the same forms."""
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    true, rows = {}, []
+    for i in range(1200):
+        lead, form = " ".join(word() for _ in range(6)), i % 8
+        body, before, good = {
+            0: (f"{word()} [at] {word()} [dot] org", rng.choice(["mail ", "contact: ", ""]), True),
+            1: (f"{word()}.{word()} (at) {word()}.com", rng.choice(["email ", "write to ", ""]), True),
+            2: (f"0{digits(3)} {digits(3)}{digits(4)}", rng.choice(["tel ", "phone: ", "call "]), True),
+            3: (f"({digits(3)}) {digits(3)}-{digits(4)}", rng.choice(["fax ", "mobile ", "", "dial "]), True),
+            4: (f"{rng.randint(1, 255)}[.]{rng.randint(0, 255)}[.]{rng.randint(0, 255)}[.]{rng.randint(0, 255)}", rng.choice(["server ", "host ", ""]), True),
+            5: (f"{digits(3)} {digits(3)}-{digits(3)}", "order #", False),
+            6: (f"{word()}@{word()}.com", "mail ", None),
+            7: (f"+{digits(2)} {digits(9)}", "phone ", None),
+        }[form]
+        text = f"{lead} {before}{body} {word()}"
+        at = len(lead) + 1 + len(before)
+        rows.append((i, text))
+        true[i] = ((at, at + len(body)), good)
+    found = {r.doc_id: {(s.start, s.end) for s in r.spans if not s.base} for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    planted = [i for i, (_, good) in true.items() if good]
+    hit = sum(true[i][0] in found[i] for i in planted)
+    wrong = sum(len(v - {true[i][0]} if true[i][1] else v) for i, v in found.items())
+    assert hit / len(planted) > 0.9 and hit / (hit + wrong) > 0.9
