@@ -20,18 +20,18 @@ VERSION = "WARC/1.1"
 NO_DATE = "1970-01-01T00:00:00Z"
 #: The response's named fields that its derivatives carry along.
 SOURCE_FIELDS = ("WARC-Target-URI", "WARC-Date", "WARC-Warcinfo-ID", "WARC-IP-Address")
-# What isn't shown. Only comments, scripts and styles run to the end of a page that doesn't close them.
-_COMMENT = r"<!--.*?(?:-->|\Z)"
-_SCRIPT = r"<(?P<{0}>script|style)\b.*?(?:</(?P={0})\s*>|\Z)"
-_SKIPPED = re.compile(rf"(?is){_COMMENT}|{_SCRIPT.format('s')}|<(?P<open>noscript|template|head)(?=[\s/>])[^>]*>")
-#: What stands in a head. It ends at its end tag, or where anything else comes.
-_IN_HEAD = re.compile(rf"(?is)\s+|{_COMMENT}|{_SCRIPT.format('s')}|<(?P<open>noscript|template)(?=[\s/>])[^>]*>|<title\b[^>]*>(?:(?:(?!</?(?:title|head|body)\b).)*+</title\s*>|[^<]*)|</?(?:meta|link|base|basefont|bgsound|noscript|template|title)\b[^>]*>|(?P<end></head\s*>)")
+#: Elements that part lines.
+_BLOCK = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article nav header footer blockquote pre td th dd dt hr".split())
+#: Tags that a head may have besides comments, scripts and styles; it ends at its end tag, or where anything else comes.
+_IN_HEAD = frozenset("meta link base basefont bgsound noscript template title".split())
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_END_OF = {k: re.compile(rf"(?i)</{k}\s*>") for k in ("script", "style", "title")}
 #: Where a noscript or template ends, or shows that it was never closed.
 _CLOSING = {"noscript": re.compile(r"(?i)(?P<end></noscript\s*>)|<noscript\b|<body\b"), "template": re.compile(r"(?i)(?P<end></template\s*>)|<body\b")}
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_LINK = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
-_BLOCK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|nav|header|footer|blockquote|pre|td|th|dd|dt|hr)\b[^>]*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
+_HEAD_PARTS = re.compile(r"(?i)(?P<end></title\s*>)|</?(?:title|head|body)\b")
+_TITLE = re.compile(r"(?i)<title\b")
+_HREF = re.compile(r"(?i)\bhref\s*=\s*")
+_BARE = re.compile(r"""[^\s>"']+""")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
 
@@ -83,49 +83,118 @@ def response_record(key: str, url: str, body: str, date: str) -> bytes:
     return write_record(fields, block)
 
 
-def _head_end(source: str, at: int, closed) -> int:
-    while m := _IN_HEAD.match(source, at):
-        at = m.end()
-        if m["end"]:
-            break
-        if m["open"]:
-            at = closed(m["open"].lower(), at) or at
-    return at
-
-
-def _shown(source: str) -> str:
-    """The source without what isn't shown. An unclosed noscript or template hides nothing but its tag."""
-    open_from: dict[str, int] = {}  # from here on a kind has no end tag
-
-    def closed(kind: str, at: int) -> int | None:
-        if at >= open_from.get(kind, len(source) + 1):
-            return None
-        found = _CLOSING[kind].search(source, at)
-        if found is None:
-            open_from[kind] = at
-        return found.end() if found and found["end"] else None
-
-    parts, done, at = [], 0, 0
-    while m := _SKIPPED.search(source, at):
-        at, kind = m.end(), (m["open"] or "").lower()
-        if kind == "head":
-            at = _head_end(source, at, closed)
-        elif kind:
-            at = closed(kind, at) or at
-        parts.append(source[done : m.start()])
-        done = at
-    return " ".join([*parts, source[done:]])
+class _Scanner:
+    """One walk over a page, from each tag to the next: its shown text, with a line end for each block, and its links.
+
+    A tag goes from "<" to the next ">"; without one, the rest is text. Only comments, scripts and styles run to the end of
+    a page that doesn't close them; an unclosed noscript or template hides nothing but its tag. No place is walked over
+    twice, but for the search of an end that is not there, which is made once.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.text, self.links = source, [], []
+        self.next_close: dict[str, tuple[int, re.Match | None]] = {}
+        self.run()
+
+    def closed(self, kind: str, at: int) -> int | None:
+        """Where a noscript or template that opens before `at` ends; None where it is not closed."""
+        searched, found = self.next_close.get(kind, (-1, None))
+        if searched < 0 or (found is not None and found.start() < at):
+            found = _CLOSING[kind].search(self.source, at)
+            self.next_close[kind] = (at, found)
+        return found.end() if found is not None and found["end"] else None
+
+    def link(self, start: int, end: int) -> None:
+        """The href of an a-tag in [start, end); a quoted value may hold a ">"."""
+        m = _HREF.search(self.source, start, end)
+        if m is None:
+            return
+        quote = self.source[m.end() : m.end() + 1]
+        if quote in ('"', "'") and quote:
+            stop = self.source.find(quote, m.end() + 1)
+            if stop >= 0:
+                self.links.append(self.source[m.end() + 1 : stop])
+        elif bare := _BARE.match(self.source, m.end(), end):
+            self.links.append(bare[0])
+
+    def run(self) -> None:
+        source, text = self.source, self.text
+        at, in_head = 0, False
+        while True:
+            lt = source.find("<", at)
+            before = source[at : lt if lt >= 0 else len(source)]
+            if in_head and before and not before.isspace():
+                in_head = False
+            if not in_head:
+                text.append(before)
+            if lt < 0:
+                return
+            if source.startswith("<!--", lt):
+                end = source.find("-->", lt + 4)
+                text.append(" ")
+                if end < 0:
+                    return
+                at = end + 3
+                continue
+            m = _NAME.match(source, lt)
+            name, opens = (m[1].lower() if m else ""), not source.startswith("</", lt)
+            if opens and name in ("script", "style"):
+                end = _END_OF[name].search(source, m.end())
+                text.append(" ")
+                if end is None:
+                    return
+                at = end.end()
+                continue
+            gt = source.find(">", lt)
+            if gt < 0:
+                text.append(source[lt:])
+                return
+            at = gt + 1
+            if opens and name in _CLOSING:
+                at = self.closed(name, at) or at
+                text.append(" ")
+                continue
+            if in_head and name in _IN_HEAD:
+                if opens and name == "title":
+                    stop = _HEAD_PARTS.search(source, at)
+                    following = source.find("<", at)
+                    at = stop.end() if stop and stop["end"] else following if following >= 0 else len(source)
+                continue
+            if name == "head":
+                in_head = opens
+                text.append(" ")
+                continue
+            in_head = False
+            if opens and name == "a":
+                self.link(lt, gt)
+            if name in _BLOCK:
+                text.append("\n")
+
+
+def _cleaned(text: str) -> str:
+    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
 
 
 def plain_text(source: str) -> str:
     """The text a reader sees: scripts, styles, head and comments go, blocks part lines, runs of blanks are one."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _shown(source)))
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
+    return _cleaned("".join(_Scanner(source).text))
 
 
 def outlinks(source: str) -> list[str]:
     """Targets of links as they are written, first ones first, each once."""
-    return list(dict.fromkeys(field_value(html.unescape(a or b or c).strip()) for a, b, c in _LINK.findall(_shown(source))))
+    return _distinct(_Scanner(source).links)
+
+
+def _distinct(links: list[str]) -> list[str]:
+    return list(dict.fromkeys(field_value(html.unescape(x).strip()) for x in links))
+
+
+def title_of(source: str) -> str:
+    """What stands in the first title, in one line; without an end tag it is no title."""
+    m = _TITLE.search(source)
+    gt = source.find(">", m.end()) if m else -1
+    end = _END_OF["title"].search(source, gt + 1) if gt >= 0 else None
+    return field_value(_BLANKS.sub(" ", html.unescape(source[gt + 1 : end.start()])).strip()) if end else ""
 
 
 def derive(response: bytes) -> tuple[bytes, bytes]:
@@ -136,11 +205,11 @@ def derive(response: bytes) -> tuple[bytes, bytes]:
     source = payload.decode("utf-8", "replace")
     about = fields["WARC-Record-ID"]
     carried = [(k, fields[k]) for k in SOURCE_FIELDS if k in fields]
-    title = _TITLE.search(source)
+    page = _Scanner(source)
     status, *http = head.decode("latin-1").split("\r\n")
-    noted = [("http-status", status.split(" ")[1] if " " in status else ""), *(("http-header", field_value(x)) for x in http), ("title", field_value(_BLANKS.sub(" ", html.unescape(title[1])).strip()) if title else ""), *(("outlink", x) for x in outlinks(source))]
+    noted = [("http-status", status.split(" ")[1] if " " in status else ""), *(("http-header", field_value(x)) for x in http), ("title", title_of(source)), *(("outlink", x) for x in _distinct(page.links))]
     notes = "".join(f"{k}: {v}\r\n" for k, v in noted).encode("utf-8", "surrogatepass")
-    text = plain_text(source).encode("utf-8", "surrogatepass")
+    text = _cleaned("".join(page.text)).encode("utf-8", "surrogatepass")
 
     def record(kind: str, content: str, data: bytes) -> bytes:
         own = [

@@ -1,7 +1,10 @@
 import base64
 import hashlib
+import re
+import time
+from html.parser import HTMLParser
 
-from ledgerlake.llm.warc import build_derivatives, op10_warc_derivatives, outlinks, plain_text, read_records
+from ledgerlake.llm.warc import build_derivatives, op10_warc_derivatives, outlinks, plain_text, read_records, title_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +55,59 @@ def test_unclosed_heads_and_templates():
         assert (plain_text(page), outlinks(page)) == ("Hi you", ["/x"]), page
     assert plain_text("<head><title>T</title>Hi") == "Hi" and plain_text("<header>Hi</header>") == "Hi"
     assert plain_text("<template>" * 50000 + "Hi") == "Hi"
+
+
+class Reader(HTMLParser):
+    """An independent reading of well-formed pages."""
+
+    BLOCKS = set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article nav header footer blockquote pre td th dd dt hr".split())
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden, self.links, self.titles, self.in_title = [], 0, [], [], False
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "head", "noscript", "template")
+        self.in_title = tag == "title"
+        if tag == "a" and not self.hidden and dict(attrs).get("href") is not None:
+            self.links.append(dict(attrs)["href"].strip())
+        self.out.append("\n" if tag in self.BLOCKS and not self.hidden else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "head", "noscript", "template")
+        self.in_title = False
+        self.out.append("\n" if tag in self.BLOCKS and not self.hidden else " " if tag in ("script", "style", "head", "noscript", "template") else "")
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.titles.append(data)
+        if not self.hidden:
+            self.out.append(data)
+
+
+def test_text_and_links_are_those_of_another_parser(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    assert len(pages) > 100
+    for page in pages:
+        want = Reader(page)
+        text = re.sub(r"\s*\n\s*", "\n", re.sub(r"[^\S\n]+", " ", "".join(want.out))).strip()
+        assert plain_text(page) == text
+        assert outlinks(page) == list(dict.fromkeys(want.links))
+        assert title_of(page) == " ".join("".join(want.titles[:1]).split(" ")).strip()
+
+
+def test_long_hostile_pages_take_seconds():
+    size = 1_000_000
+    for part in ("<a ", "<title>", "<p ", "<", "<a href='", "<template>", "<head><title>", "<head <", "<noscript", "<!--", "<script", "<a>", "&", " \n", "<meta><title>"):
+        page = part * (size // len(part))
+        began = time.time()
+        plain_text(page)
+        outlinks(page)
+        title_of(page)
+        plain_text(page + "<body>")
+        assert time.time() - began < 20, part
