@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from .shingles import mix
@@ -64,10 +66,16 @@ def estimate(agree: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return ((agree / BUCKETS - chance) / (1 - chance)).clip(0, 1)
 
 
+#: Sets of fewer shingles than this are never ruled out by their registers, of which many are borrowed then.
+LEAST_ESTIMATED = 4 * BUCKETS
+#: exp(-2 BUCKETS SLACK^2) = 1e-9, Hoeffding's bound on the chance that BUCKETS independent registers of two sets agree less
+#: often than the sets do by this much.
+SLACK = math.sqrt(math.log(1e9) / (2 * BUCKETS))
+
+
 def may_reach(agree: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the similarity may be reached: the sizes allow it, and the estimate is not below it by more than four
-    standard errors of as many independent registers as the sets have members or buckets."""
+    """Whether the similarity may be reached: the sizes allow it, and, of sets that fill their registers, the estimate is
+    not below it by more than SLACK."""
     n, m = np.asarray(n, float), np.asarray(m, float)
-    independent = np.minimum(np.maximum(n, m), BUCKETS)
-    slack = 4 * np.sqrt(similarity * (1 - similarity) * (1 / independent + 1 / BUCKETS))
-    return (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (estimate(agree, n, m) >= similarity - slack)
+    small = np.minimum(n, m) < LEAST_ESTIMATED
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (small | (estimate(agree, n, m) >= similarity - SLACK))

@@ -80,13 +80,15 @@ def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare_blocks(table: pa.Table) -> pa.Table:
-    """Links between members of two blocks (or of one) that are in different clusters; for each member one link to
-    each cluster at most."""
-    node, block, cluster = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "block", "cluster"))
+    """Links from members of a block of the first side to members of a block of the second that are in other clusters;
+    for each member of the first one link to each cluster at most."""
+    node, side, cluster = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "side", "cluster"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members").combine_chunks()]
     sizes = np.array([len(s) for s in sets])
-    first = np.flatnonzero(block == block.min())
-    second = np.flatnonzero(block == block.max())
+    first, second = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    kind = table.schema.field("node").type
+    if not len(first) or not len(second):
+        return pa.table({"a": pa.array([], kind), "b": pa.array([], kind)})
     tokens = np.concatenate([sets[i] for i in second])
     owner = np.repeat(np.arange(len(second)), sizes[second])
     order = np.argsort(tokens, kind="stable")
@@ -102,7 +104,6 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
             _, one = np.unique(cluster[second][link], return_index=True)
             found_a += [node[i]] * len(one)
             found_b += list(node[second[link[one]]])
-    kind = table.schema.field("node").type
     return pa.table({"a": pa.array(found_a, kind), "b": pa.array(found_b, kind)})
 
 
@@ -125,17 +126,28 @@ def _links_between_clusters(groups: DataFrame, clusters: DataFrame, candidates:
     hubs = ties.groupBy("key").agg(F.min("node").alias("a"))
     family = connected_components(ties.join(hubs, "key").select("a", F.col("node").alias("b")).distinct(), "families").withColumnRenamed("component", "family")
     of_family = able.join(family, "node")
+    # links within a family's largest cluster are of no use, so its members are on the second side alone
+    by_cluster = of_family.groupBy("family", "cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    blocks = lambda members, shingles: F.greatest(F.ceil(members / BLOCK_MEMBERS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
     sizes = (
-        of_family.groupBy("family")
-        .agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
-        .where("low <> high")
-        .select("family", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        by_cluster.groupBy("family")
+        .agg(F.count(F.lit(1)).alias("clusters"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"), F.max(F.struct("members", "cluster", "shingles")).alias("largest"))
+        .where("clusters > 1")
+        .select("family", F.col("largest.cluster").alias("largest"), blocks(F.col("members") - F.col("largest.members"), F.col("shingles") - F.col("largest.shingles")).alias("firsts"), blocks(F.col("members"), F.col("shingles")).alias("seconds"))
     )
-    dealt = of_family.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "cluster").join(candidates.select("node", "members"), "node")
+    dealt = of_family.join(sizes, "family")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    to_all = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    first = dealt.where("cluster <> largest").select("family", block("firsts").alias("i"), to_all("seconds").alias("j"), F.lit(1).alias("side"), "node", "cluster")
+    second = dealt.select("family", to_all("firsts").alias("i"), block("seconds").alias("j"), F.lit(2).alias("side"), "node", "cluster")
+    pairs = first.unionByName(second).join(candidates.select("node", "members"), "node")
     return written(pairs.groupBy("family", "i", "j").applyInArrow(_compare_blocks, f"a {id_type}, b {id_type}"), "between")
 
 
+#: Members of one centre that are compared with one copy of its set.
+MEMBERS_A_COPY = 2000
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
@@ -147,12 +159,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        exact copies of any size is one node.
     3. Each class has 64 band keys of 5 registers. Two sets of similarity 0.75 miss every common band once in 10^7
        or less. Keys that several classes share are kept, each with its smallest node as its centre.
-    4. Every member is compared with its centres: registers first, then full sets. Confirmed links give clusters.
+    4. Every member is compared with its centres: by sizes, large sets by the estimate from their registers too, which
+       loses a link once in 10^9, then on full sets. Confirmed links give clusters.
     5. What can still be linked lies in one band group but in different clusters. Of a link's two sets, three
-       quarters of each are shingles that both clusters have: members with fewer such shingles go. What remains is
-       dealt into blocks of bounded size, and blocks of one family (groups that share members) are compared with each
-       other. No pair within a cluster is formed, none is emitted unless it is a link, and no link between clusters
-       of a band group is lost.
+       quarters of each are shingles that both clusters have: members with fewer such shingles go. What remains of a
+       family (groups that share members) is dealt into blocks of bounded size: members outside its largest cluster
+       are compared with all, so work grows with their number times the family's. No pair within a cluster is
+       emitted, none is unless it is a link, and no link between clusters of a band group is lost.
     6. Components of all confirmed links.
 
     Null or wordless texts have no shingles: n_shingles 0, linked with nothing. Rows with equal ids count as one
@@ -183,9 +196,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     def verified(pairs: DataFrame, least: float, name: str) -> DataFrame:
-        left = candidates.select(F.col("node").alias("a"), F.col("regs").alias("regs_a"), F.col("members").alias("set_a"))
+        # a centre of many members is dealt over copies of its set, so that it is sent once a copy and not once a member
+        copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_A_COPY).cast("int").alias("copies"))
+        dealt = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("copy"))
+        left = candidates.join(copies, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("regs").alias("regs_a"), F.col("members").alias("set_a"))
         right = candidates.select(F.col("node").alias("b"), F.col("regs").alias("regs_b"), F.col("members").alias("set_b"))
-        full = pairs.join(left, "a").join(right, "b").select("a", "b", "regs_a", "regs_b", "set_a", "set_b")
+        full = dealt.join(right, "b").join(left, ["a", "copy"]).select("a", "b", "regs_a", "regs_b", "set_a", "set_b")
         return written(full.mapInArrow(_verify(least), f"a {id_type}, b {id_type}, both long, either long"), name)
 
     linked = WHOLE * F.col("both") >= PART * F.col("either")

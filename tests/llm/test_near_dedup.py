@@ -22,7 +22,12 @@ def brute(rows):
             i = up[i]
         return i
 
-    for a, b in combinations(sets, 2):
+    at = {}
+    for i, found in sets.items():
+        for shingle in found:
+            at.setdefault(shingle, []).append(i)
+    # all pairs that share anything
+    for a, b in {pair for ids in at.values() for pair in combinations(sorted(set(ids)), 2)}:
         both = len(sets[a] & sets[b])
         if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
             x, y = top(a), top(b)
@@ -42,6 +47,38 @@ def test_whole_table(spark):
     check(op6_near_dedup(spark, SF).collect(), rows)
 
 
+def test_larger_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    check(op6_near_dedup(spark, sf).collect(), rows)
+
+
+def test_small_sets_at_the_threshold(spark):
+    """Pairs of 4 to 60 shingles whose similarity is 0.7 to 0.8: each link is found, also by pairs that share one band."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(700):
+        n = rng.randint(4, 60)
+        words = [f"p{i}_{j}" for j in range(n + 4)]
+        cut = round(n * rng.uniform(0.2, 0.3))  # of the n shingles of one text, the other lacks these
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: n + 4 - cut]))]
+    check(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_families_of_several_clusters_in_blocks(spark, monkeypatch):
+    from ledgerlake.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(near_dedup, "MEMBERS_A_COPY", 2)
+    rng = random.Random(4)
+    base = [f"w{j}" for j in range(100)]
+    rows = []
+    for i in range(60):  # each has its own part of one text, so that some link only by others between them
+        a = rng.randrange(40)
+        rows.append((i, " ".join(base[a : a + 60])))
+    check(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
 def test_chains_copies_and_edges(spark):
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
