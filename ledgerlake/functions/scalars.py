@@ -154,16 +154,30 @@ def within(path: Column) -> Column:
     return ~path.rlike(r"\A(?:[/\\]|[A-Za-z]:)") & (F.aggregate(parts, F.lit(0), step) >= 0)
 
 
-def event_level(event_type: Column) -> Column:
-    """A log level of an event's type: errors 3, refunds and removals 2, purchases 1, all else 0."""
-    return F.when(event_type.isin("error"), 3).when(event_type.isin("refund", "remove", "logout"), 2).when(event_type.isin("purchase", "signup"), 1).otherwise(0)
-
-
-def retry_delays(first_ms: int, factor: float, steady_ms: int, total_ms: int) -> list[int]:
-    """Growing waits, at most steady_ms each, while their sum stays under total_ms."""
-    out, wait, spent = [], float(first_ms), 0
-    while spent + min(wait, steady_ms) <= total_ms:
-        out.append(int(min(wait, steady_ms)))
-        spent += out[-1]
-        wait *= factor
-    return out
+# fixed values: the events that are failures, and the levels of the log
+FAILURES = ("BackupFailure", "RestoreFailure", "CheckFailure", "UnrecoverableError")
+DEBUG, INFO, WARNING, ERROR = range(4)
+
+
+def event_level(event: Column) -> Column:
+    """A log level of an event: failures are errors, all else is information."""
+    return F.when(event.isin(*FAILURES), ERROR).otherwise(INFO)
+
+
+def exponential_delays(attempts: Column, base_ms: Column, factor: float, max_ms: int) -> Column:
+    """array<bigint>: the waits before each retry of so many attempts, one fewer than these: growing, at most max_ms."""
+    waits = F.transform(F.sequence(F.lit(1), attempts - 1), lambda i: F.least(base_ms * F.pow(F.lit(float(factor)), i - 1), F.lit(float(max_ms))).cast("long"))
+    return F.when(attempts > 1, waits).otherwise(F.array().cast("array<bigint>"))
+
+
+def sequence_delays(backoff: list[int], steady_ms: int | None, total_ms: Column) -> Column:
+    """array<bigint>: the listed waits in turn, then steady_ms (the last one, where None), up to the last that keeps their sum
+    within total_ms."""
+    steady = backoff[-1] if steady_ms is None else steady_ms
+    sums = [sum(backoff[: i + 1]) for i in range(len(backoff))]
+    listed = F.array(*[F.lit(x).cast("long") for x in backoff])
+    n = F.lit(0)
+    for k, s in enumerate(sums):  # waits are not negative, so sums do not fall
+        n = F.when(total_ms >= s, k + 1).otherwise(n)
+    more = F.when(total_ms >= sums[-1], F.floor((total_ms - sums[-1]) / steady)).otherwise(0).cast("int")
+    return F.concat(F.slice(listed, F.lit(1), n), F.array_repeat(F.lit(steady).cast("long"), more))

@@ -8,15 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW_MS, QUIET_MS = 10_000, 200
+WINDOW_MS, QUIET_MS, MAX_SAMPLES = 10_000, 200, 256
 
 
 def rolling_speed(samples: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
-    """samples(stage, ms, bytes) with speed: bytes a second since the oldest sample of the last window_ms, whole
-    numbers; null where the clock has not moved."""
-    w = Window.partitionBy("stage").orderBy("ms").rangeBetween(-window_ms, 0)
-    oldest = samples.withColumn("_b", F.min("bytes").over(w)).withColumn("_t", F.min("ms").over(w))
-    return oldest.withColumn("speed", F.when(F.col("ms") > F.col("_t"), F.expr("(bytes - _b) * 1000 div (ms - _t)"))).drop("_b", "_t")
+    """samples(stage, ms, bytes) with speed: bytes a second since the oldest of the last MAX_SAMPLES samples that is not
+    older than window_ms, whole numbers; 0 where the clock has not moved. Bytes are running totals, so they tell the
+    order of samples of one ms."""
+    sample = F.struct("ms", "bytes")
+    recent = F.min(sample).over(Window.partitionBy("stage").orderBy("ms").rangeBetween(-window_ms, 0))
+    held = F.min(sample).over(Window.partitionBy("stage").orderBy("ms", "bytes").rowsBetween(1 - MAX_SAMPLES, 0))
+    oldest = samples.withColumn("_o", F.greatest(recent, held))
+    return oldest.withColumn("speed", F.when(F.col("ms") > F.col("_o.ms"), F.expr("(bytes - _o.bytes) * 1000 div (ms - _o.ms)")).otherwise(F.lit(0).cast("long"))).drop("_o")
 
 
 def time_to_go(samples: DataFrame) -> DataFrame:
@@ -97,7 +100,9 @@ def sampled_match(sample: DataFrame, local: DataFrame, examples: int = 10) -> Da
         F.count_if(missing).alias("missing"),
         F.count_if(size).alias("size_differs"),
         F.count_if(late).alias("time_differs"),
-        F.slice(F.sort_array(F.collect_list(F.when(missing | size, F.col("path")))), 1, examples).alias("examples"),
     )
+    # the least paths first: only these are gathered
+    first = joined.where(missing | size).select("path").orderBy("path").limit(examples).agg(F.sort_array(F.collect_list("path")).alias("examples"))
+    out = out.crossJoin(first)  # one row each
     rate = F.when(F.col("sampled") == 0, 0.0).otherwise(F.round(F.col("matched") / F.col("sampled"), 6))
     return out.withColumn("rate", rate).withColumn("verdict", F.when(F.col("rate") >= 0.95, "ok").when(F.col("rate") >= 0.05, "confirm").otherwise("reject"))

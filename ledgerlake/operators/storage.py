@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import base_name, object_of, pack_id_of, parent_dir, storage_key, volume_names
+from ..functions.scalars import base_name, object_of, pack_id_of, parent_dir, storage_key, volume_names, within
 
 
 def reference_set(entries: DataFrame, packs: DataFrame, versions: DataFrame, info_names: list[str]) -> DataFrame:
@@ -56,8 +56,8 @@ def retention(versions: DataFrame, now, mode: str, max_versions: int, max_days:
 
 def live_members(entries: DataFrame) -> DataFrame:
     """(pack_id, members, live_bytes): a pack's members in use, by entry name over all versions; the newest version's
-    length counts."""
-    named = entries.where("storage_kind = 'pack'").groupBy("ref", F.coalesce("entry_name", "path").alias("entry")).agg(F.max_by("length", "version").alias("length"))
+    length counts. Members whose digest is unknown are not counted."""
+    named = entries.where("storage_kind = 'pack' and full_hash is not null").groupBy("ref", F.coalesce("entry_name", "path").alias("entry")).agg(F.max_by("length", "version").alias("length"))
     return named.groupBy(F.col("ref").alias("pack_id")).agg(F.count(F.lit(1)).alias("members"), F.sum("length").alias("live_bytes"))
 
 
@@ -82,18 +82,36 @@ def expected_volumes(refs: DataFrame, packs: DataFrame) -> DataFrame:
 
 
 def cloud_check(expected: DataFrame, objects: DataFrame) -> DataFrame:
-    """(ref, verdict): Missing if a volume is not there, SizeMismatch if one has another size than known, else Ok."""
+    """(ref, verdict): Missing if a volume is not there, SizeMismatch if one has another size than known, else Ok. The one
+    volume of an object may also be stored as its first volume."""
     base = object_of(F.col("storage_kind"), F.col("ref"))
-    volumes = expected.select("ref", "volume_sizes", F.posexplode(volume_names(base, F.col("volumes"))).alias("at", "name"))
-    joined = volumes.withColumn("wanted", F.get("volume_sizes", F.col("at"))).join(objects.select("name", "size"), "name", "left")
+    volumes = expected.select("ref", "volume_sizes", F.col("volumes").alias("n"), F.posexplode(volume_names(base, F.col("volumes"))).alias("at", "name"))
+    either = F.when(F.col("n") <= 1, F.array("name", F.concat("name", F.lit(".001")))).otherwise(F.array("name"))
+    tried = volumes.select("ref", "at", F.get("volume_sizes", F.col("at")).alias("wanted"), F.posexplode(either).alias("choice", "name")).join(objects.select("name", "size"), "name", "left")
+    joined = tried.groupBy("ref", "at").agg(F.first("wanted").alias("wanted"), F.min_by("size", F.when(F.col("size").isNotNull(), F.col("choice"))).alias("size"))
     return joined.groupBy("ref").agg(F.when(F.bool_or(F.col("size").isNull()), "Missing").when(F.bool_or(F.coalesce(F.col("wanted") != F.col("size"), F.lit(False))), "SizeMismatch").otherwise("Ok").alias("verdict"))
 
 
-def local_check(entries: DataFrame, local: DataFrame) -> DataFrame:
-    """entries with local: Missing, Different or Ok against local(path, length, full_hash)."""
-    mine = local.select("path", F.col("length").alias("_l"), F.col("full_hash").alias("_h"))
-    verdict = F.when(F.col("_l").isNull(), "Missing").when((F.col("_l") != F.col("length")) | ~F.col("_h").eqNullSafe(F.col("full_hash")), "Different").otherwise("Ok")
-    return entries.join(mine, "path", "left").withColumn("local", verdict).drop("_l", "_h")
+def local_check(entries: DataFrame, local: DataFrame, level: str = "Content") -> DataFrame:
+    """entries with local: NotChecked at level None, else Missing, Changed or Ok against local(path, kind, length,
+    permissions, target, full_hash, unreadable).
+
+    Paths that leave the root, files that cannot be read and links that are none are Missing. Links are compared by their
+    target; files at level Attributes by length and permissions, at level Content by their digest.
+    """
+    if level == "None":
+        return entries.withColumn("local", F.lit("NotChecked"))
+    mine = local.select("path", F.struct("kind", "length", "permissions", "target", "full_hash", "unreadable").alias("_m"))
+    same = {"Attributes": F.col("_m.length").eqNullSafe(F.col("length")) & F.col("_m.permissions").eqNullSafe(F.col("permissions")), "Content": F.col("_m.full_hash").eqNullSafe(F.col("full_hash"))}[level]
+    link = F.col("kind") == "symlink"
+    verdict = (
+        F.when(~within(F.col("path")) | F.col("_m").isNull() | (link & (F.col("_m.kind") != "symlink")), "Missing")
+        .when(link, F.when(F.col("_m.target").eqNullSafe(F.col("target")), "Ok").otherwise("Changed"))
+        .when(F.coalesce("_m.unreadable", F.lit(False)), "Missing")
+        .when(same, "Ok")
+        .otherwise("Changed")
+    )
+    return entries.join(mine, "path", "left").withColumn("local", verdict).drop("_m")
 
 
 def findings(entries: DataFrame, cloud: DataFrame) -> DataFrame:
@@ -104,9 +122,11 @@ def findings(entries: DataFrame, cloud: DataFrame) -> DataFrame:
 
 
 def check_report(found: DataFrame) -> DataFrame:
+    """One row: ok if every cloud copy is, whatever the local files are; refs whose copy is missing or of a wrong size;
+    their files, and those of them that can be repaired."""
     return found.agg(
-        F.bool_and((F.col("cloud") == "Ok") & (F.col("local") != "Different")).alias("ok"),
-        F.countDistinct(F.when(F.col("cloud") == "Missing", F.col("ref"))).alias("missing_refs"),
+        F.coalesce(F.bool_and(F.col("cloud") == "Ok"), F.lit(True)).alias("ok"),
+        F.countDistinct(F.when(F.col("cloud") != "Ok", F.col("ref"))).alias("missing_refs"),
         F.count_if(F.col("cloud") != "Ok").alias("corrupted"),
         F.count_if("repairable").alias("repairable"),
     )

@@ -67,7 +67,7 @@ def unreadable(spark: SparkSession, sf: str) -> DataFrame:
 #: Where version 1 keeps its contents: files of less than 3000 bytes are members of their directory's pack.
 STORED_CTE = """
 stored AS (
-  SELECT CAST(1 AS BIGINT) AS version, path, length, full_hash, head_hash, tail_hash,
+  SELECT CAST(1 AS BIGINT) AS version, path, kind, length, permissions, target, full_hash, head_hash, tail_hash,
     CASE WHEN kind <> 'file' OR length = 0 THEN NULL WHEN length < 3000 THEN 'pack' ELSE 'blob' END AS storage_kind,
     CASE WHEN kind <> 'file' OR length = 0 THEN NULL WHEN length < 3000 THEN replace(regexp_extract(path, '^(.*)/[^/]*$', 1), '/', '-') ELSE 'data/' || full_hash END AS ref,
     CASE WHEN kind = 'file' AND length >= 3000 THEN CAST(1 + length // 5000 AS INTEGER) END AS volumes
@@ -86,7 +86,7 @@ references_ AS (
     ))
 ),
 objects AS (
-  SELECT name, CAST(100 + length(name) AS BIGINT) AS size FROM references_ WHERE name NOT LIKE '%7.002'
+  SELECT CASE WHEN name LIKE 'data/%3' AND name NOT LIKE '%.0%' THEN name || '.001' ELSE name END AS name, CAST(100 + length(name) AS BIGINT) AS size FROM references_ WHERE name NOT LIKE '%7.002'
   UNION ALL SELECT DISTINCT 'data/' || md5('orphan' || CAST(doc_id AS VARCHAR)), CAST(doc_id AS BIGINT) FROM documents WHERE doc_id % 50 = 0
   UNION ALL SELECT DISTINCT 'packs/gone' || CAST(doc_id % 9 AS VARCHAR) || '.7z.' || printf('%03d', doc_id % 4 + 1), CAST(500 AS BIGINT) FROM documents WHERE doc_id % 31 = 0
 )"""
@@ -95,7 +95,7 @@ objects AS (
 def stored(spark: SparkSession, sf: str) -> DataFrame:
     file = (F.col("kind") == "file") & (F.col("length") > 0)
     return version(spark, sf, 1).select(
-        F.lit(1).cast("long").alias("version"), "path", "length", "full_hash", "head_hash", "tail_hash",
+        F.lit(1).cast("long").alias("version"), "path", "kind", "length", "permissions", "target", "full_hash", "head_hash", "tail_hash",
         F.when(file, F.when(F.col("length") < 3000, "pack").otherwise("blob")).alias("storage_kind"),
         F.when(file, F.when(F.col("length") < 3000, F.replace(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("/"), F.lit("-"))).otherwise(F.concat(F.lit("data/"), F.col("full_hash")))).alias("ref"),
         F.when(file & (F.col("length") >= 3000), (1 + F.floor(F.col("length") / 5000)).cast("int")).alias("volumes"),
@@ -115,7 +115,7 @@ def index_versions(spark: SparkSession) -> DataFrame:
 
 def objects(spark: SparkSession, sf: str, references: DataFrame) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id")
-    there = references.where("name NOT LIKE '%7.002'").select("name", (100 + F.length("name")).cast("long").alias("size"))
+    there = references.where("name NOT LIKE '%7.002'").selectExpr("CASE WHEN name LIKE 'data/%3' AND name NOT LIKE '%.0%' THEN name || '.001' ELSE name END AS name", "CAST(100 + length(name) AS BIGINT) AS size")
     lost = docs.where("doc_id % 50 = 0").select(F.concat(F.lit("data/"), F.md5(F.concat(F.lit("orphan"), F.col("doc_id").cast("string")))).alias("name"), F.col("doc_id").cast("long").alias("size")).distinct()
     gone = docs.where("doc_id % 31 = 0").select(F.concat(F.lit("packs/gone"), (F.col("doc_id") % 9).cast("string"), F.lit(".7z."), F.format_string("%03d", F.col("doc_id") % 4 + 1)).alias("name"), F.lit(500).cast("long").alias("size")).distinct()
     return there.union(lost).union(gone)
@@ -124,7 +124,7 @@ def objects(spark: SparkSession, sf: str, references: DataFrame) -> DataFrame:
 #: The operation log, from events.
 OPLOG_CTE = """
 oplog AS (
-  SELECT event_id AS id, ts, CAST(CASE WHEN event_type IN ('error') THEN 3 WHEN event_type IN ('refund', 'remove', 'logout') THEN 2 WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END AS INTEGER) AS level,
+  SELECT event_id AS id, ts, CAST(CASE WHEN event_type IN ('error', 'signup') THEN 3 ELSE 1 END AS INTEGER) AS level,
     'backup:' || CAST(user_id % 3 AS VARCHAR) || ':' || event_type AS source, props AS message, event_id % 4 <> 0 AS ephemeral
   FROM events
 )"""
@@ -133,8 +133,10 @@ oplog AS (
 def oplog(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.scalars import event_level
 
+    # the events of the table stand for notifications
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in (("error", "BackupFailure"), ("signup", "UnrecoverableError"), ("purchase", "BackupSuccess"), ("view", "CheckSuccess"), ("click", "RestoreSuccess")) for x in kv]), F.col("event_type"))
     return table(spark, sf, "events").select(
-        F.col("event_id").alias("id"), "ts", event_level(F.col("event_type")).alias("level"), F.concat(F.lit("backup:"), (F.col("user_id") % 3).cast("string"), F.lit(":"), F.col("event_type")).alias("source"), F.col("props").alias("message"), (F.col("event_id") % 4 != 0).alias("ephemeral")
+        F.col("event_id").alias("id"), "ts", event_level(named).alias("level"), F.concat(F.lit("backup:"), (F.col("user_id") % 3).cast("string"), F.lit(":"), F.col("event_type")).alias("source"), F.col("props").alias("message"), (F.col("event_id") % 4 != 0).alias("ephemeral")
     )
 
 

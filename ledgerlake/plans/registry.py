@@ -441,10 +441,10 @@ def c12_expected_volumes(spark, sf):
 
 
 _CLOUD_CTE = """cloud AS (
-  SELECT ref, CASE WHEN bool_or(o.size IS NULL) THEN 'Missing' WHEN bool_or(coalesce(i = 1 AND o.size % 5 = 0, FALSE)) THEN 'SizeMismatch' ELSE 'Ok' END AS verdict FROM (
-    SELECT ref, i, CASE WHEN n <= 1 THEN base ELSE base || '.' || printf('%03d', i) END AS name FROM (SELECT ref, base, n, unnest(range(1, greatest(n, 1) + 1)) AS i FROM (
+  SELECT ref, CASE WHEN bool_or(coalesce(o.size, one.size) IS NULL) THEN 'Missing' WHEN bool_or(coalesce(i = 1 AND coalesce(o.size, one.size) % 5 = 0, FALSE)) THEN 'SizeMismatch' ELSE 'Ok' END AS verdict FROM (
+    SELECT ref, i, n, CASE WHEN n <= 1 THEN base ELSE base || '.' || printf('%03d', i) END AS name FROM (SELECT ref, base, n, unnest(range(1, greatest(n, 1) + 1)) AS i FROM (
       SELECT pack_id AS ref, 'packs/' || pack_id || '.7z' AS base, volumes AS n FROM packs UNION ALL SELECT ref, ref, max(volumes) FROM stored WHERE storage_kind = 'blob' GROUP BY ref))
-  ) e LEFT JOIN objects o ON e.name = o.name GROUP BY ref)"""
+  ) e LEFT JOIN objects o ON e.name = o.name LEFT JOIN objects one ON e.n <= 1 AND one.name = e.name || '.001' GROUP BY ref)"""
 
 
 def _cloud(spark, sf) -> DataFrame:
@@ -464,17 +464,27 @@ def c23_cloud_check(spark, sf):
 
 
 _LOCAL_CTE = """checked AS (
-  SELECT s.*, CASE WHEN l.path IS NULL THEN 'Missing' WHEN l.length <> s.length OR l.full_hash <> s.full_hash THEN 'Different' ELSE 'Ok' END AS local FROM stored s LEFT JOIN v2 l ON s.path = l.path),
+  SELECT s.*, CASE WHEN l.path IS NULL OR s.kind = 'symlink' AND l.kind <> 'symlink' THEN 'Missing' WHEN s.kind = 'symlink' THEN CASE WHEN l.target IS NOT DISTINCT FROM s.target THEN 'Ok' ELSE 'Changed' END
+    WHEN l.doc_id % 37 = 0 THEN 'Missing' WHEN l.full_hash = s.full_hash THEN 'Ok' ELSE 'Changed' END AS local FROM stored s LEFT JOIN v2 l ON s.path = l.path),
 found AS (SELECT c.path, c.ref, coalesce(verdict, 'Ok') AS cloud, local, coalesce(verdict, 'Ok') <> 'Ok' AND local = 'Ok' AS repairable FROM checked c LEFT JOIN cloud k ON c.ref = k.ref)"""
 
 
+def _local(spark, sf) -> DataFrame:
+    return fx.version(spark, sf, 2).withColumn("unreadable", F.col("doc_id") % 37 == 0)
+
+
 def _found(spark, sf) -> DataFrame:
-    return storage.findings(storage.local_check(fx.stored(spark, sf), fx.version(spark, sf, 2)), _cloud(spark, sf)).select("path", "ref", "cloud", "local", "repairable")
+    return storage.findings(storage.local_check(fx.stored(spark, sf), _local(spark, sf)), _cloud(spark, sf)).select("path", "ref", "cloud", "local", "repairable")
 
 
 @_query("SELECT path, local FROM checked", fx.CTES, fx.STORED_CTE, _CLOUD_CTE, _LOCAL_CTE)
 def c22_local_check(spark, sf):
-    return storage.local_check(fx.stored(spark, sf), fx.version(spark, sf, 2)).select("path", "local")
+    return storage.local_check(fx.stored(spark, sf), _local(spark, sf)).select("path", "local")
+
+
+@_query("SELECT s.path, CASE WHEN l.path IS NULL OR s.kind = 'symlink' AND l.kind <> 'symlink' THEN 'Missing' WHEN s.kind = 'symlink' THEN CASE WHEN l.target IS NOT DISTINCT FROM s.target THEN 'Ok' ELSE 'Changed' END WHEN l.doc_id % 37 = 0 THEN 'Missing' WHEN l.length = s.length AND l.permissions = s.permissions THEN 'Ok' ELSE 'Changed' END AS local FROM stored s LEFT JOIN v2 l ON s.path = l.path", fx.CTES, fx.STORED_CTE)
+def c22_local_attributes(spark, sf):
+    return storage.local_check(fx.stored(spark, sf), _local(spark, sf), "Attributes").select("path", "local")
 
 
 @_query("SELECT * FROM found", fx.CTES, fx.STORED_CTE, _CLOUD_CTE, _LOCAL_CTE)
@@ -482,7 +492,7 @@ def e04_findings(spark, sf):
     return _found(spark, sf)
 
 
-@_query("SELECT bool_and(cloud = 'Ok' AND local <> 'Different') AS ok, count(DISTINCT ref) FILTER (WHERE cloud = 'Missing') AS missing_refs, count(*) FILTER (WHERE cloud <> 'Ok') AS corrupted, count(*) FILTER (WHERE repairable) AS repairable FROM found", fx.CTES, fx.STORED_CTE, _CLOUD_CTE, _LOCAL_CTE)
+@_query("SELECT bool_and(cloud = 'Ok') AS ok, count(DISTINCT ref) FILTER (WHERE cloud <> 'Ok') AS missing_refs, count(*) FILTER (WHERE cloud <> 'Ok') AS corrupted, count(*) FILTER (WHERE repairable) AS repairable FROM found", fx.CTES, fx.STORED_CTE, _CLOUD_CTE, _LOCAL_CTE)
 def g08_check_report(spark, sf):
     return storage.check_report(_found(spark, sf))
 
@@ -721,7 +731,7 @@ def e05_settings_inheritance(spark, sf):
 
 
 @_query(
-    "SELECT stage, ms, bytes, CASE WHEN ms > t THEN (bytes - b) * 1000 // (ms - t) END AS speed FROM (SELECT *, min(bytes) OVER w AS b, min(ms) OVER w AS t FROM samples WINDOW w AS (PARTITION BY stage ORDER BY ms RANGE BETWEEN 10000 PRECEDING AND CURRENT ROW))",
+    "SELECT stage, ms, bytes, CASE WHEN ms > t THEN (bytes - b) * 1000 // (ms - t) ELSE 0 END AS speed FROM (SELECT *, greatest(min(bytes) OVER w, min(bytes) OVER h) AS b, greatest(min(ms) OVER w, min(ms) OVER h) AS t FROM samples WINDOW w AS (PARTITION BY stage ORDER BY ms RANGE BETWEEN 10000 PRECEDING AND CURRENT ROW), h AS (PARTITION BY stage ORDER BY ms ROWS BETWEEN 255 PRECEDING AND CURRENT ROW))",
     fx.SAMPLES_CTE,
 )
 def h10_rolling_speed(spark, sf):
@@ -761,13 +771,25 @@ def h16_stratified_sample(spark, sf):
 
 @_query(
     """SELECT count(*) AS sampled, count(*) FILTER (WHERE l.path IS NOT NULL AND l.length = s.length) AS matched, count(*) FILTER (WHERE l.path IS NULL) AS missing, count(*) FILTER (WHERE l.length <> s.length) AS size_differs,
-      CAST(0 AS BIGINT) AS time_differs, round(count(*) FILTER (WHERE l.length = s.length) / CAST(count(*) AS DOUBLE), 6) AS rate,
+      count(*) FILTER (WHERE l.length = s.length AND l.mtime_ticks <> s.mtime_ticks) AS time_differs, (SELECT array_to_string(list(path ORDER BY path), ',') FROM (SELECT s.path FROM v1 s LEFT JOIN v2 l ON s.path = l.path WHERE l.path IS NULL OR l.length <> s.length ORDER BY 1 LIMIT 10)) AS examples, round(count(*) FILTER (WHERE l.length = s.length) / CAST(count(*) AS DOUBLE), 6) AS rate,
       CASE WHEN count(*) FILTER (WHERE l.length = s.length) >= 0.95 * count(*) THEN 'ok' WHEN count(*) FILTER (WHERE l.length = s.length) >= 0.05 * count(*) THEN 'confirm' ELSE 'reject' END AS verdict
     FROM v1 s LEFT JOIN v2 l ON s.path = l.path""",
     fx.CTES,
 )
 def g13_sampled_match(spark, sf):
-    return metrics.sampled_match(fx.version(spark, sf, 1), fx.version(spark, sf, 2)).drop("examples")
+    later = fx.version(spark, sf, 2).withColumn("mtime_ticks", F.col("mtime_ticks") * 20_000_000)
+    return metrics.sampled_match(fx.version(spark, sf, 1), later).withColumn("examples", F.array_join("examples", ","))
+
+
+@_query(
+    """SELECT p_partkey, array_to_string([CAST(floor(least(p_size * 100 * pow(1.5, i - 1), 9000.0)) AS BIGINT) FOR i IN range(1, p_partkey % 7)], ',') AS growing,
+      array_to_string(list_concat([[500, 1000, 4000][i] FOR i IN range(1, CASE WHEN p_size * 300 >= 5500 THEN 4 WHEN p_size * 300 >= 1500 THEN 3 WHEN p_size * 300 >= 500 THEN 2 ELSE 1 END)],
+        [3000 FOR i IN range(CASE WHEN p_size * 300 >= 5500 THEN (p_size * 300 - 5500) // 3000 ELSE 0 END)]), ',') AS listed FROM part"""
+)
+def f25_retry_delays(spark, sf):
+    base, total = (F.col("p_size") * 100).cast("double"), F.col("p_size") * 300
+    growing = fn.exponential_delays((F.col("p_partkey") % 7).cast("int"), base, 1.5, 9000)
+    return fx.table(spark, sf, "part").select("p_partkey", F.array_join(growing.cast("array<string>"), ",").alias("growing"), F.array_join(fn.sequence_delays([500, 1000, 4000], 3000, total).cast("array<string>"), ",").alias("listed"))
 
 
 # J: sets

@@ -154,4 +154,5 @@ def test_scalars(spark):
     assert value(fn.base_name(F.lit("data/h.1000"))) == "data/h"
     assert value(fn.content_key(F.lit("f"), F.lit(None), F.lit("h"), F.lit(None))) == "f\n\nh\n"
     assert value(fn.ancestors(F.lit("a/b/c"))) == ["a", "a/b"] and value(fn.ancestors(F.lit("a"))) == []
-    assert fn.retry_delays(100, 2, 300, 1000) == [100, 200, 300, 300]
+    waits = spark.range(1).select(fn.exponential_delays(F.lit(5), F.lit(100.0), 2, 300).alias("g"), fn.exponential_delays(F.lit(1), F.lit(100.0), 2, 300).alias("none"), fn.sequence_delays([100, 200], None, F.lit(750)).alias("s"), fn.sequence_delays([100, 200], None, F.lit(50)).alias("z")).first()
+    assert (waits.g, waits.none, waits.s, waits.z) == ([100, 200, 300, 300], [], [100, 200, 200, 200], [])
