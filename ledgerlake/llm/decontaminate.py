@@ -14,7 +14,8 @@ from .common import read_table, written
 from .suffix_automaton import SuffixAutomaton, words_of
 
 WINDOW = 10
-#: An automaton holds at most this many words of items (about 100 MB in a task); more items make more automata.
+#: An automaton holds about this many words of items (about 100 MB in a task); more items make more automata, and each is a
+#: pass over docs.
 MAX_WORDS = 200_000
 #: Items longer than this are cut into pieces that overlap by WINDOW - 1 words, so no window is lost.
 PIECE_WORDS = 50_000
@@ -38,24 +39,25 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(numbers, pa.int32()), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], ["item_id", "piece", "words", "n"])
 
 
-def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text", max_words: int = MAX_WORDS) -> list[bytes]:
-    """Pickled automata over all items, each of about max_words words at most.
+def _build(table: pa.Table) -> pa.Table:
+    """The automaton of one shard's pieces, pickled."""
+    rows = sorted(zip(table.column("item_id").to_pylist(), table.column("piece").to_pylist(), table.column("words").to_pylist(), strict=True), key=lambda r: (r[0] or "", r[1], r[2]))
+    blob = pickle.dumps(SuffixAutomaton([(key, words.split()) for key, _, words in rows], WINDOW), protocol=5)
+    return pa.table({"shard": table.column("shard").slice(0, 1), "blob": pa.array([blob], pa.binary())})
 
-    The pieces are dealt over as many shards as the count of all words asks for. What comes to the driver is the
-    benchmark's words, one shard at a time, and each shard's size is checked before.
+
+def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+    """(shard, blob): pickled automata over all items, each of about max_words words, built in tasks and written.
+
+    Pieces are dealt by a hash of their words too, over as many shards as the count of all words asks for.
     """
     pieces = written(items.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(_pieces, "item_id string, piece int, words binary, n long"), "items")
+    # a piece that an item has several times, or that items without an id share, says no more than once
+    pieces = pieces.dropDuplicates(["item_id", "piece", "words"])
     total = pieces.agg(F.sum("n")).first()[0] or 0
     shards = -(-total // max_words)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("item_id", "piece"), F.lit(max(1, shards))))
-    out = []
-    for k in range(shards):
-        part = dealt.where(F.col("shard") == k)
-        if shards > 1 and part.agg(F.sum("n")).first()[0] > 4 * max_words + PIECE_WORDS:
-            raise ValueError("a shard of the benchmark is far larger than dealt for; raise max_words")
-        rows = [(r.item_id, bytes(r.words).split()) for r in part.orderBy("item_id", "piece", "words").toLocalIterator()]
-        out.append(pickle.dumps(SuffixAutomaton(rows, WINDOW), protocol=5))
-    return out
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("item_id", "piece", "words"), F.lit(max(1, shards))).cast("int"))
+    return written(dealt.groupBy("shard").applyInArrow(_build, "shard int, blob binary"), "automata")
 
 
 def _scan(blob, min_run: int | None = None):
@@ -110,6 +112,23 @@ def _without(text: str | None, runs: list[list[int]]) -> str | None:
     return " ".join(p.strip() for p in parts if p.strip())
 
 
+def _scanned(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str, max_words: int, min_run: int | None) -> DataFrame:
+    """(doc, text, n_words, hits, items, longest): docs in one struct, where no name can clash, its text, and what is found.
+    One automaton at a time comes to the driver and is broadcast; its size is bounded by max_words and a piece."""
+    spark = docs.sparkSession
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    out = docs.select(rest.alias("doc"), F.col(text_col).alias("text")).selectExpr("doc", "text", "0L as n_words", "cast(array() as array<struct<first:int,last:int>>) as hits", "cast(array() as array<string>) as items", "0 as longest")
+    built = automata(items, item_col, item_text_col, max_words)
+    shards = [r.shard for r in built.select("shard").orderBy("shard").collect()]
+    for k, shard in enumerate(shards or [None]):
+        if k:
+            out = written(out, "contamination")
+        blob = pickle.dumps(SuffixAutomaton([], WINDOW)) if shard is None else bytes(built.where(F.col("shard") == shard).first().blob)
+        cut = min_run if k == max(1, len(shards)) - 1 else None
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(blob), cut), f"doc {out.schema['doc'].dataType.simpleString()}, text string, {_FOUND}")
+    return out
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_words: int = MAX_WORDS, min_run: int | None = None) -> DataFrame:
     """docs with a struct column `contamination`: n_words, hits (first and last word of each maximal run of words
     that windows cover), items (sorted ids of the items with occurring windows) and longest (the longest match).
@@ -119,16 +138,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     replaced. With min_run, runs of at least so many hit words are cut out of the text, in the same pass. One pass
     over docs for each automaton, no shuffle; between passes the rows are written.
     """
-    spark = docs.sparkSession
     docs = docs.drop("contamination")
-    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    out = docs.select(rest.alias("doc"), F.col(text_col).alias("text")).selectExpr("doc", "text", "0L as n_words", "cast(array() as array<struct<first:int,last:int>>) as hits", "cast(array() as array<string>) as items", "0 as longest")
-    blobs = automata(items, item_col, item_text_col, max_words) or [pickle.dumps(SuffixAutomaton([], WINDOW))]
-    for k, blob in enumerate(blobs):
-        if k:
-            out = written(out, "contamination")
-        cut = min_run if k == len(blobs) - 1 else None
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(blob), cut), f"doc {out.schema['doc'].dataType.simpleString()}, text string, {_FOUND}")
+    out = _scanned(docs, items, text_col, item_col, item_text_col, max_words, min_run)
     named = [F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns]
     return out.select(*named, F.struct("n_words", "hits", "items", "longest").alias("contamination"))
 
@@ -136,10 +147,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", min_run: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """docs without contamination, with the same columns: runs of at least min_run hit words are cut out of the text,
     and documents of which hit words are more than max_coverage go. Rows without hits stay as they are."""
-    found = find_contamination(docs, items, text_col, min_run=min_run)
-    n_hit = hit_words(F.col("contamination"))
-    kept = found.where((n_hit <= max_coverage * F.col("contamination.n_words")) | (n_hit == 0))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _scanned(docs, items, text_col, "item_id", "text", MAX_WORDS, min_run)
+    n_hit = hit_words(F.struct("hits"))
+    kept = found.where((n_hit <= max_coverage * F.col("n_words")) | (n_hit == 0))
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def hit_words(contamination: Column) -> Column:

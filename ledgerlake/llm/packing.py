@@ -9,13 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import columns_free_of, read_table
+from .common import columns_free_of, read_table, written
 
 BUCKETS = 16
 #: Tokens of a batch, padding included. A document that is longer makes a batch of its own.
 TOKEN_BUDGET = 65_536
-#: Ids of one stretch of this many are numbered together.
-STRETCH = 4096
 #: The histogram comes to the driver: one row for each length that occurs, 24 bytes each. More lengths than this fail.
 MAX_LENGTHS = 2_000_000
 _ADDED = ["n_tokens", "bucket", "bucket_tokens", "batch", "place"]
@@ -79,14 +77,16 @@ def pack(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id",
     place (from 0 in its batch).
 
     Rows of a bucket are numbered by id, then by length, and every max(1, budget div bucket_tokens) of them make a
-    batch. Ids are numbered in stretches, so that no task orders a whole bucket; only the stretches' counts are summed
-    up in order. Nulls: a null text has the end mark only, null ids stand first; rows that are alike in id and length
-    take their numbers in any order. Documents longer than the budget are batches of one. Empty tables give no rows.
-    Columns of docs with the names of the added ones are replaced.
+    batch. Rows are dealt over ranges of (bucket, id, length), whatever the ids' type and however they are spread, and
+    written in that order; a row's number is its place in its range and the count of its bucket's rows in the ranges
+    before, of which there is one row for each range and bucket. Equal ids and lengths are parted by a hash and by the
+    rows' place in the input, so that no range has to hold all of them. Nulls: a null text has the end mark only, null
+    ids stand first; rows that are alike in id and length take their numbers in any order. Documents longer than the
+    budget are batches of one. Empty tables give no rows. Columns of docs with the names of the added ones are replaced.
     """
     names = columns_free_of(docs, _ADDED).columns
     # the columns of docs travel in one struct, where no name can clash with those of the steps
-    doc = F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")
+    doc = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names]).alias("doc")
     sized = docs.select(doc, F.col(id_col).alias("id"), (tokens if tokens is not None else word_tokens(F.col(text_col))).alias("n_tokens"))
     own = [F.col(f"doc.`{c}`") for c in names]
     histogram = sized.groupBy("n_tokens").count().limit(MAX_LENGTHS + 1).collect()
@@ -97,20 +97,21 @@ def pack(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id",
         return sized.select(*own, "n_tokens", *[F.lit(0).cast(t).alias(c) for c, t in (("bucket", "int"), ("bucket_tokens", "long"), ("batch", "long"), ("place", "long"))])
     upper = F.array(*[F.lit(b).cast("long") for b in bounds])
     bucket = reduce(lambda a, b: a + b, [(F.col("n_tokens") > b).cast("int") for b in bounds])
-    placed = sized.withColumn("bucket", bucket).withColumn("bucket_tokens", F.element_at(upper, F.col("bucket") + 1))
-    placed = placed.withColumn("_stretch", F.coalesce(F.floor(F.col("id") / STRETCH), F.lit(-(2**62))))
-    # the number of a row is the count of rows before its stretch, and its number there
-    counts = placed.groupBy("bucket", "_stretch").count()
-    before = counts.select("bucket", "_stretch", (F.sum("count").over(Window.partitionBy("bucket").orderBy("_stretch")) - F.col("count")).alias("_before"))
-    in_order = Window.partitionBy("bucket", "_stretch").orderBy(F.col("id").asc_nulls_first(), "n_tokens")
-    ranked = placed.withColumn("_in_stretch", F.row_number().over(in_order) - 1)
-    number = F.col("_before") + F.col("_in_stretch")
+    placed = sized.withColumn("bucket", bucket).withColumn("row", F.monotonically_increasing_id())
+    order = ["bucket", F.col("id").asc_nulls_first(), "n_tokens", F.xxhash64("row"), "row"]
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("row", "id").withColumn("at", F.monotonically_increasing_id())
+    ordered = written(ordered, "packing")
+    part = F.shiftright("at", 33)  # the number of the range is in the high bits
+    ranges = ordered.groupBy(part.alias("part"), "bucket").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
+    before = ranges.select("part", "bucket", "first", (F.sum("rows").over(Window.partitionBy("bucket").orderBy("part")) - F.col("rows")).alias("before"))
     rows = F.greatest(F.lit(1), F.expr(f"{budget} div bucket_tokens"))
     return (
-        ranked.join(before, ["bucket", "_stretch"])
-        .withColumn("_number", number)
-        .withColumn("batch", F.floor(F.col("_number") / rows))
-        .withColumn("place", F.col("_number") % rows)
+        ordered.withColumn("part", part)
+        .join(F.broadcast(before), ["part", "bucket"])  # one row for each range and bucket
+        .withColumn("number", F.col("before") + F.col("at") - F.col("first"))
+        .withColumn("bucket_tokens", F.element_at(upper, F.col("bucket") + 1))
+        .withColumn("batch", F.floor(F.col("number") / rows))
+        .withColumn("place", F.col("number") % rows)
         .select(*own, "n_tokens", "bucket", "bucket_tokens", "batch", "place")
     )
 

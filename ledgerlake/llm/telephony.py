@@ -118,6 +118,32 @@ def pcm_parts(codec: str, data: memoryview) -> Iterator[np.ndarray]:
             yield table[raw[at : at + SAMPLES_AT_ONCE]]
 
 
+def pcm_of_many(stored: list[tuple[str, memoryview]]) -> Iterator[Iterator[np.ndarray]]:
+    """pcm_parts of each file. ADPCM blocks of all files that have BLOCKS_AT_ONCE or fewer are decoded together, so many at
+    a time, as decoding takes as many steps as a block has samples, whatever the number of blocks."""
+    small = [i for i, (codec, data) in enumerate(stored) if codec == ADPCM and len(data) <= BLOCKS_AT_ONCE * BLOCK]
+    together, done, size = [], {}, 0
+
+    def decode() -> None:
+        blocks = np.concatenate([np.frombuffer(stored[i][1], np.uint8)[: len(stored[i][1]) // BLOCK * BLOCK] for i in together]).reshape(-1, BLOCK)
+        pcm, at = decode_adpcm(blocks), 0
+        for i in together:
+            n = len(stored[i][1]) // BLOCK
+            done[i] = pcm[at : at + n].ravel()
+            at += n
+
+    for i in small:
+        if size + len(stored[i][1]) > BLOCKS_AT_ONCE * BLOCK:
+            decode()
+            together, size = [], 0
+        together.append(i)
+        size += len(stored[i][1])
+    if together:
+        decode()
+    for i, (codec, data) in enumerate(stored):
+        yield iter([done.pop(i)]) if i in done else pcm_parts(codec, data)
+
+
 def double_rate(pcm: np.ndarray, after: int | None = None) -> np.ndarray:
     """Twice the samples: each, and the mean with the one that follows (the last with `after`, or itself)."""
     out = np.empty(2 * len(pcm), np.int16)
@@ -128,12 +154,11 @@ def double_rate(pcm: np.ndarray, after: int | None = None) -> np.ndarray:
     return out
 
 
-def _measure(codec: str, data: memoryview, keep: bool) -> tuple[str, bytes | None]:
+def _measure(codec: str, parts: Iterator[np.ndarray], keep: bool) -> tuple[str, bytes | None]:
     """What is measured on the resampled PCM: its samples, peak, energy, sign changes and CRC; with `keep`, itself."""
     n = peak = energy = changes = crc = 0
     last = None
     kept = []
-    parts = pcm_parts(codec, data)
     part = next(parts, None)
     while part is not None:
         following = next(parts, None)
@@ -162,24 +187,35 @@ def codec_for(payload: bytes) -> str:
     return (MULAW, ALAW, ADPCM)[zlib.crc32(payload) % 3]
 
 
+#: Payloads are stored, read back and measured in groups of about so many bytes.
+GROUP_BYTES = 2_000_000
+
+
 def _store(keep_pcm: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # a few MB of media at a time, whatever the texts' lengths
-            rows, size = [], 0
+            keys, sizes, media, size = [], [], [], 0
+
+            def table(key_type=batch.schema.field(0).type):
+                read = [read_wav(m) for m in media]
+                rows = []
+                for key, n, m, (codec, _, stored), parts in zip(keys, sizes, media, read, pcm_of_many([(codec, stored) for codec, _, stored in read]), strict=True):
+                    feature, pcm = _measure(codec, parts, keep_pcm)
+                    rows.append((key, n, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-16:]), m, hashlib.sha256(m).hexdigest(), feature, pcm))
+                return _table(rows, key_type, keep_pcm)
+
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 payload = payload_of(data)
-                media = wav(payload, codec_for(payload))
-                codec, _, stored = read_wav(media)
-                feature, pcm = _measure(codec, stored, keep_pcm)
-                rows.append((key, len(data), len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-16:]), media, hashlib.sha256(media).hexdigest(), feature, pcm))
-                size += len(media) * (6 if keep_pcm else 1)
-                if size > 16_000_000:
-                    yield _table(rows, batch.schema.field(0).type, keep_pcm)
-                    rows, size = [], 0
-            if rows:
-                yield _table(rows, batch.schema.field(0).type, keep_pcm)
+                keys.append(key)
+                sizes.append(len(data))
+                media.append(wav(payload, codec_for(payload)))
+                size += len(payload)
+                if size > GROUP_BYTES:
+                    yield table()
+                    keys, sizes, media, size = [], [], [], 0
+            if keys:
+                yield table()
 
     return run
 
@@ -204,7 +240,7 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A text's UTF-8 bytes, filled up with spaces to a positive multiple of 192, are stored as they are as the samples
     of a telephony WAV file: 8-bit mu-law or A-law, or ADPCM blocks of 192 bytes, by the payload's CRC. Digests and
     features come from the file read back: its samples are expanded, and resampled to 16 kHz PCM (column pcm, 16-bit
-    little-endian, where keep_pcm). Null texts count as empty ones, which are one block of spaces. Rows with equal
+    little-endian, where keep_pcm; four to eight times the text's bytes, in one value). Null texts count as empty ones, which are one block of spaces. Rows with equal
     texts get equal values, null ids stay null, empty tables give no rows, other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -213,8 +249,10 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = store_audio(read_table(spark, sf_dir, "documents"), keep_pcm=False)
-    return stored.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), "media_sha256", "feature")
+    """The contract's columns, and size and digest of the resampled PCM that is stored beside the file."""
+    stored = store_audio(read_table(spark, sf_dir, "documents"))
+    sizes = [F.length("media").cast("long").alias("media_bytes"), F.length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256")]
+    return stored.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", sizes[0], "media_sha256", "feature", *sizes[1:])
 
 
 QUERIES = {"op9_telephony_audio": op9_telephony_audio}

@@ -96,10 +96,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Weights from labelled rows; rows without a label are left out and null texts count as empty.
 
     The sample is the max_labelled rows with the smallest hash of their id, dealt by that hash over `shards` models
-    that learn apart, each in one task; the mean of their weights is the model. Without any row all weights are 0.
+    that learn apart, each in one task; the mean of their weights is the model. Rows of one hash, repeated ids among
+    them, are put in order by text and label, so that the sample is the same in every run. Without any row all weights are 0.
     Only the non-zero weights come to the driver.
     """
-    sample = labelled.where(F.col(label_col).isNotNull()).select(_order(id_col).alias("place"), F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label")).orderBy("place").limit(max_labelled)
+    sample = labelled.where(F.col(label_col).isNotNull()).select(_order(id_col).alias("place"), F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label")).orderBy("place", F.xxhash64("text"), "label").limit(max_labelled)
     dealt = sample.select(F.pmod("place", F.lit(shards)).cast("int").alias("shard"), "place", "text", "label").repartition(shards, "shard")
     w = np.zeros((1 << BITS) + 1)
     for r in dealt.mapInArrow(_fit, "at int, weight double").groupBy("at").agg(F.sum("weight").alias("weight")).collect():
@@ -107,11 +108,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return w
 
 
-def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs with out_col: the probability of label 1, from the whole text alone. Each distinct feature counts once.
-    Null texts score as empty ones, which is the bias alone. An earlier column of that name is replaced."""
-    docs = docs.drop(out_col)
-    blob = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+def scorer(spark: SparkSession, weights: np.ndarray):
+    """A function from a text Column to the probability of label 1, from the whole text alone. Each distinct feature counts
+    once. Null texts score as empty ones, which is the bias alone."""
+    blob = spark.sparkContext.broadcast(weights.astype(np.float32))
 
     @F.arrow_udf(DoubleType())
     def probability(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -124,7 +124,12 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col:
                 out[i] = np.float64(w[at].sum(dtype=np.float64) + w[-1])
             yield pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
-    return docs.withColumn(out_col, probability(F.col(text_col)))
+    return probability
+
+
+def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """docs with out_col: the probability of label 1. An earlier column of that name is replaced."""
+    return docs.drop(out_col).withColumn(out_col, scorer(docs.sparkSession, weights)(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id"):

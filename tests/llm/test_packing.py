@@ -42,8 +42,16 @@ def test_edges(spark):
     assert pack(df.limit(0)).collect() == []
 
 
+def test_ids_of_any_type_and_hot_ids(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'same' ELSE 'k' || id END AS doc_id", "'w' AS text")
+    rows = pack(df, buckets=3, budget=100).collect()
+    numbers = sorted((r.batch * 50 + r.place, r.doc_id or "") for r in rows)
+    assert [n for n, _ in numbers] == list(range(3000))
+    assert [k for _, k in numbers] == sorted(k for _, k in numbers)  # null ids first, then by id
+
+
 def test_clashing_columns_keep_their_values(spark):
-    extra = ["doc", "id", "_stretch", "_before", "_in_stretch", "_number", "count"]
+    extra = ["doc", "id", "_stretch", "_before", "_in_stretch", "_number", "count", "row", "at", "part", "first", "before", "number"]
     df = spark.range(50).selectExpr("id as doc_id", "repeat('w ', cast(id as int)) as text", *[f"concat('{c}', id) as {c}" for c in extra])
     rows = pack(df, buckets=3, budget=100).collect()
     assert len(rows) == 50 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra)
