@@ -15,13 +15,13 @@ from ledgerlake.llm.decontaminate import decontaminate
 from ledgerlake.llm.near_dedup import keep_one_of_each
 from ledgerlake.llm.packing import pack
 from ledgerlake.llm.pii import redact
-from ledgerlake.llm.toxicity import learned, score
+from ledgerlake.llm.toxicity import learned, scorer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5; the model learns from the labelled documents that aren't held out."""
-    scored = score(docs, learned(spark, sf_dir), out_col="_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    toxic = scorer(spark, learned(spark, sf_dir))(F.col("text"))
+    return docs.where(toxic < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
