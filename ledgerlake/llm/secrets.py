@@ -1,4 +1,8 @@
-"""Secret scans: candidate strings, judged by a random forest trained from labelled findings."""
+"""Secret scans: candidate strings, judged by a random forest trained from labelled findings.
+
+What natural text looks like (character transitions, a dictionary) is learned from the whole corpus; the forest is
+fitted by Spark's MLlib, and its trees are walked with numpy in the tasks that find the candidates.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +10,20 @@ import math
 import random
 import re
 import string
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import read_table, shared_dir, written
 
 #: A candidate is a run of at least this many characters that keys are made of, or a run of any length where a value
 #: stands (after a sign or a quote). '=' belongs to it as padding at its end only.
@@ -28,184 +33,281 @@ _RUN = re.compile(rf"(?<!{_KEY})(?:{_KEY}{{{MIN_LENGTH},}}|(?:(?<=[=:\"'`])|(?<=
 _NEIGHBOURS = 48
 #: Findings that the forest is trained from, made by labelled_findings.
 N_FINDINGS = 4000
-FEATURES = ["length", "entropy", "transitions", "digits", "hexadecimal", "dictionary", "in_path", "assigned", "quoted", "secret_word", "harmless_word", "same_char"]
-# Short words and syllables that ordinary identifiers are made of.
-_WORDS = ("the", "and", "for", "with", "from", "data", "file", "user", "name", "item", "page", "test", "list", "table", "index", "value", "image", "http", "www", "com", "net", "org", "html", "example", "ing", "tion", "ment", "able", "ent", "ion", "ers", "lich", "keit", "ung", "schen", "ado", "ción", "mente", "eau", "aux", "elle")
-_SECRET_WORDS = re.compile(r"(?i)\b\w*(?:token|secret|passw|api_?key|access_?key|private|credential|auth|bearer)\w*\b")
+#: Words of the dictionary: the corpus' commonest of 4 to 12 letters.
+MAX_WORDS = 20_000
+SHORTEST, LONGEST = 4, 12
+FEATURES = ["length", "entropy", "transitions", "language", "digits", "hexadecimal", "dictionary", "in_path", "assigned", "quoted", "secret_word", "harmless_word", "same_char"]
+_SECRET_WORDS = re.compile(r"(?i)token|secret|passw|pwd|api_?-?key|access_?-?key|private_?-?key|credential|auth|bearer")
 #: What keys of known services begin with; such a key needs no word before it.
 _KEY_PREFIX = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|[sr]k_(?:live|test)_|sk-|xox[abprs]-|AIza|npm_|hf_|eyJ)")
-_HARMLESS_WORDS = re.compile(r"(?i)\b(?:commit|sha\d*|md5|uuid|checksum|digest|etag|rev|revision|build|page|id|isbn|order|phone|card)\b")
+_HARMLESS_WORDS = re.compile(r"(?i)\b(?:commit|sha\d*|md5|uuid|guid|checksum|digest|etag|rev|revision|build|page|id|isbn|order|phone|card|name|version|file|path|class|function)\b")
+_ASSIGNED = re.compile(r"[=:]\s*[\"'`]?\Z")
 _KINDS = {**dict.fromkeys(string.ascii_lowercase, 0), **dict.fromkeys(string.ascii_uppercase, 1), **dict.fromkeys(string.digits, 2)}
 _PATHLIKE = re.compile(r"(?i)(?:https?://|www\.|[./\\][\w-]+/|\.(?:html?|php|png|jpe?g|js|css)\b)")
+#: Classes of characters for transitions: letters whatever their case, digits, other letters, and all else as one.
+_CLASSES = 29
+_CLASS_OF = bytes(b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if 48 <= b <= 57 else 28 if b >= 128 else 0 for b in range(256))
+_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-@lru_cache(100_000)
-def _own(found: str) -> tuple[float, ...]:
-    """What a candidate's own characters say: length, entropy, transitions, digits, hexadecimal, dictionary, same_char."""
-    counts, n = Counter(found), len(found)
-    kinds = [_KINDS.get(c, 3) for c in found]
-    low = found.lower()
-    covered = bytearray(n)
-    for w in _WORDS:
-        at = low.find(w)
-        while at >= 0:
-            covered[at : at + len(w)] = b"\1" * len(w)
-            at = low.find(w, at + 1)
-    return (
-        float(min(n, 256)),
-        -sum(c / n * math.log2(c / n) for c in counts.values()),
-        sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
-        kinds.count(2) / n,
-        float(all(c in "0123456789abcdef" for c in low)),
-        sum(covered) / n,
-        max(counts.values()) / n,
-    )
-
+@dataclass(frozen=True)
+class Language:
+    """What a corpus' own text looks like: log2 chances of a character's class after another, and its commonest words."""
 
-@lru_cache(10_000)
-def _documented(path: str) -> bool:
-    return bool(re.search(r"(?i)\b(?:test|example|sample|doc)s?\b", path))
+    transitions: np.ndarray
+    words: frozenset[str]
 
 
-def measure(found: str, before: str, after: str, path: str) -> list[float]:
-    """FEATURES of a candidate, from itself, what stands around it, and the path (or source) of its text."""
-    *own, same_char = _own(found)
-    near = before[-_NEIGHBOURS:]
-    return [
-        *own,
-        float(bool(_PATHLIKE.search(near[-12:] + found)) or _documented(path)),
-        float(bool(re.search(r"[=:]\s*[\"'`]?\s*\Z", near))),
-        float(near[-1:] in "\"'`" and near != "" and after[:1] in "\"'`" and after != ""),
-        float(bool(_SECRET_WORDS.search(near) or _KEY_PREFIX.match(found))),
-        float(bool(_HARMLESS_WORDS.search(near))),
-        same_char,
-    ]
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, key, n): counts of class pairs and of words; words go out whenever there are many different ones."""
+    pairs, words = np.zeros(_CLASSES * _CLASSES, np.int64), Counter()
 
+    def table(found: list[tuple[bytes, int]], pair: bool):
+        return pa.RecordBatch.from_arrays([pa.array([pair] * len(found), pa.bool_()), pa.array([k for k, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["pair", "key", "n"])
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, starts, ends, measures = [], [], [], []
-        for row, (text, path) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
-            text = text.as_py()
-            if not text:
-                continue
-            for m in _RUN.finditer(text):
-                a, b = m.span()
-                rows.append(row)
-                starts.append(a)
-                ends.append(b)
-                measures.append(measure(m[0], text[max(0, a - _NEIGHBOURS) : a], text[b : b + 1], path.as_py() or ""))
-        columns = list(zip(*measures, strict=True)) if measures else [[] for _ in FEATURES]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), *(pa.array(c, pa.float64()) for c in columns)], ["id", "start", "end", *FEATURES]
+        for text in batch.column(0):
+            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            codes = np.frombuffer(b"\0" + data.translate(_CLASS_OF) + b"\0", np.uint8).astype(np.int64)
+            pairs += np.bincount(codes[:-1] * _CLASSES + codes[1:], minlength=len(pairs))
+            words.update(w for w in data.translate(_LETTERS).split() if SHORTEST <= len(w) <= LONGEST)
+            if len(words) > 200_000:
+                yield table(list(words.items()), False)
+                words.clear()
+    yield table(list(words.items()), False)
+    yield table([(bytes(divmod(int(k), _CLASSES)), int(pairs[k])) for k in np.flatnonzero(pairs)], True)
+
+
+def learn_language(docs: DataFrame, text_col: str = "text", max_words: int = MAX_WORDS) -> Language:
+    """Counts over every whole text; what comes to the driver are the pairs of classes and max_words words at most. Null
+    texts count as empty; without any text all transitions are alike and no word is known."""
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted, "pair boolean, key binary, n long").groupBy("pair", "key").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.col("pair").desc(), F.col("n").desc(), "key").limit(max_words + _CLASSES * _CLASSES).collect()
+    pairs = np.ones((_CLASSES, _CLASSES))
+    for r in found:
+        if r.pair:
+            pairs[r.key[0], r.key[1]] += r.n
+    pairs[0, 0] = 1  # runs of marks and blanks say nothing
+    words = [bytes(r.key).decode("utf-8", "replace") for r in found if not r.pair][:max_words]
+    return Language(np.log2(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(words))
+
+
+class Measures:
+    """FEATURES of candidates. What a candidate's own characters say is kept for those seen last."""
+
+    def __init__(self, language: Language):
+        self.language = language
+        self.own = lru_cache(50_000)(self._own)
+        self.documented = lru_cache(10_000)(lambda path: bool(re.search(r"(?i)\b(?:test|example|sample|doc)s?\b", path)))
+
+    def _own(self, found: str) -> tuple[float, ...]:
+        counts, n, low = Counter(found), len(found), found.lower()
+        kinds = [_KINDS.get(c, 3) for c in found]
+        codes = np.frombuffer(b"\0" + found.encode().translate(_CLASS_OF) + b"\0", np.uint8)
+        at = covered = 0
+        while at < n:  # the longest word from each place on
+            step = next((k for k in range(min(LONGEST, n - at), SHORTEST - 1, -1) if low[at : at + k] in self.language.words), 0)
+            covered += step
+            at += step or 1
+        return (
+            float(min(n, 256)),
+            -sum(c / n * math.log2(c / n) for c in counts.values()),
+            sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
+            float(self.language.transitions[codes[:-1], codes[1:]].mean()),
+            kinds.count(2) / n,
+            float(all(c in "0123456789abcdef" for c in low)),
+            covered / n,
+            max(counts.values()) / n,
         )
 
+    def of(self, text: str, a: int, b: int, path: str) -> tuple[float, ...]:
+        """Of the candidate text[a:b], from itself, what stands around it, and the path (or source) of its text."""
+        found = text[a:b]
+        *own, same_char = self.own(found)
+        near = text[max(0, a - _NEIGHBOURS) : a]
+        quoted = near[-1:] in ('"', "'", "`") and text[b : b + 1] in ('"', "'", "`")
+        return (
+            *own,
+            float(_PATHLIKE.search(near[-12:] + found) is not None or self.documented(path)),
+            float(_ASSIGNED.search(near[-6:]) is not None),
+            float(quoted),
+            float(_SECRET_WORDS.search(near) is not None or _KEY_PREFIX.match(found) is not None),
+            float(_HARMLESS_WORDS.search(near) is not None),
+            same_char,
+        )
 
-_MEASURED = "start int, end int, " + ", ".join(f"{f} double" for f in FEATURES)
 
+@dataclass(frozen=True)
+class Forest:
+    """The trees of a fitted forest as arrays over all nodes: inner nodes go left where feature <= threshold."""
 
-def candidate_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(id, start, end, FEATURES...) of each candidate, in code points. Null texts and paths count as empty."""
-    path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit("")
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path"))
-    return own.mapInArrow(_candidates, f"id {own.schema['id'].dataType.simpleString()}, {_MEASURED}")
+    roots: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    share: np.ndarray
+
+    def probability(self, rows: np.ndarray) -> np.ndarray:
+        """The mean share of secrets in the leaves that each row of FEATURES comes to."""
+        at = np.repeat(self.roots[None, :], len(rows), axis=0)
+        place = np.arange(len(rows))[:, None]
+        while (inner := self.feature[at] >= 0).any():
+            goes_left = rows[place, np.maximum(self.feature[at], 0)] <= self.threshold[at]
+            at = np.where(inner, np.where(goes_left, self.left[at], self.right[at]), at)
+        return self.share[at].mean(axis=1)
+
+
+def train_forest(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 11) -> Forest:
+    """A forest from rows of FEATURES and label (1: a secret). Rows are put in order first, so that equal findings
+    give an equal forest however they were dealt. Its nodes, trees * 2^(depth + 1) at most, come to the driver."""
+    spark = findings.sparkSession
+    ordered = findings.select(*FEATURES, "label").orderBy(*FEATURES, "label").coalesce(1)
+    assembled = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(ordered)
+    model = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(assembled)
+    path = f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
+    model.save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
+    place = {(r.treeID, r.id): i for i, r in enumerate(nodes)}
+    inner = [r.leftChild >= 0 for r in nodes]
+    return Forest(
+        np.array([place[t, 0] for t in sorted({r.treeID for r in nodes})]),
+        np.array([r.split.featureIndex if i else -1 for r, i in zip(nodes, inner, strict=True)]),
+        np.array([r.split.leftCategoriesOrThreshold[0] if i else 0.0 for r, i in zip(nodes, inner, strict=True)]),
+        np.array([place[r.treeID, r.leftChild] if i else 0 for r, i in zip(nodes, inner, strict=True)]),
+        np.array([place[r.treeID, r.rightChild] if i else 0 for r, i in zip(nodes, inner, strict=True)]),
+        np.array([r.impurityStats[1] / max(1e-9, sum(r.impurityStats)) if len(r.impurityStats) > 1 else 0.0 for r in nodes]),
+    )
 
 
-def _finding(number: int) -> tuple[str, str, str, str, int]:
-    """(found, before, after, path, label) of a made-up line: in every other one found is a secret."""
+def _finding(number: int, words: list[str]) -> tuple[str, str, str, str, int]:
+    """(found, before, after, path, label) of a made-up line around words of the corpus: in every other one found is a
+    secret."""
     rng = random.Random(f"finding {number}")
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
-    filler = " ".join(pick(string.ascii_lowercase, rng.choice([2, 3, 4, 5, 6, 7, 8, 9, 11, 14])).capitalize() if rng.randrange(5) == 0 else pick(string.ascii_lowercase, rng.choice([2, 4, 6, 8, 9, 12])) for _ in range(5))
+    made = lambda: pick(string.ascii_lowercase, rng.choice([2, 4, 6, 9, 12]))
+    word = lambda: rng.choice(words) if words and rng.randrange(5) else made()
+    several = lambda n, sep: sep.join(word() for _ in range(n))
+    filler = " ".join(w.capitalize() if rng.randrange(5) == 0 else w for w in (word() for _ in range(5)))
     path = f"src{rng.randrange(40)}"
     if number % 2:
-        alphabet = rng.choice(["0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits])
-        found = pick(alphabet, rng.choice([20, 24, 32, 36, 40, 40, 48, 64]))
-        form = rng.randrange(8)
+        alphabet = rng.choice(["0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "-_"])
+        found = pick(string.ascii_letters + string.digits, 1) + pick(alphabet, rng.choice([19, 23, 31, 35, 39, 39, 47, 63]))
+        form = rng.randrange(9)
         if form == 0:  # keys that need no word
             prefix, chars, n = rng.choice([("AKIA", string.ascii_uppercase + string.digits, 16), ("ghp_", string.ascii_letters + string.digits, 36), ("sk_live_", string.ascii_letters + string.digits, 24), ("xoxb-", string.digits, 12), ("AIza", string.ascii_letters + string.digits + "_-", 35)])
             return prefix + pick(chars, n), f"{filler} {rng.choice(['', '(', 'key '])}", rng.choice([" ", ".", ")", ","]), path, 1
         if form == 1:  # mixed characters with no word before them
             return pick(string.ascii_letters + string.digits, rng.choice([32, 40, 48, 64])), f"{filler} ", rng.choice([" ", ".", ","]), path, 1
-        word = rng.choice(["token", "secret", "api_key", "apikey", "password", "access_key", "auth_token", "client_secret", "private_key"])
-        word = rng.choice([word, word, word.upper()])
+        key = rng.choice(["token", "secret", "api_key", "apikey", "password", "access_key", "auth_token", "client_secret", "private_key", "passwd", "db_password"])
+        key = rng.choice([key, key, key.upper(), key.replace("_", "-")])
         if form == 2:  # addresses
-            return found, f"{filler} https://www.{pick(string.ascii_lowercase, 6)}.com/{pick(string.ascii_lowercase, 4)}?{rng.choice(['', 'id=7&'])}{word}=", rng.choice([" ", "&", "#"]), path, 1
-        if form == 3:  # short ones
-            found = pick(string.ascii_letters + string.digits, rng.choice([8, 10, 12, 14]))
+            return found, f"{filler} https://www.{word()}.com/{word()}?{rng.choice(['', 'id=7&'])}{key}=", rng.choice([" ", "&", "#"]), path, 1
+        if form == 3:  # short ones, and ones that people make up
+            found = rng.choice([pick(string.ascii_letters + string.digits, rng.choice([8, 10, 12, 14])), word().capitalize() + pick(string.digits, rng.randint(2, 4)) + pick("_-+", 1) + pick(string.ascii_letters, 2)])
         if form == 4 and rng.randrange(2):
             found += rng.choice(["=", "=="])
-        sign = rng.choice([" = ", "=", "=", ": ", ":", " := "])
-        quote = rng.choice(['"', "'", "", ""])
-        return found, f"{filler} {word}{sign}{quote}", quote or " ", path, 1
-    kind = rng.randrange(7)
-    words = lambda n, sep: sep.join(rng.choice(_WORDS) for _ in range(n))
+        if form == 5:  # headers
+            return found, f"{filler} Authorization: {rng.choice(['Bearer ', 'Token ', 'token '])}", rng.choice([" ", "\n", '"']), path, 1
+        sign = rng.choice([" = ", "=", "=", ": ", ":", " := ", '": "', "': '"])
+        quote = sign[-1] if sign[-1] in "\"'" else rng.choice(['"', "'", "", ""])
+        return found, f"{filler} {key}{sign}{'' if sign[-1] == quote else quote}", quote or " ", path, 1
+    kind = rng.randrange(10)
     if kind == 0:  # digests and revisions
-        return pick("0123456789abcdef", rng.choice([32, 40, 64])), f"{filler} {rng.choice(['commit', 'sha1', 'sha256', 'md5', 'checksum', 'rev'])} ", " ", path, 0
+        return pick("0123456789abcdef", rng.choice([32, 40, 64])), f"{filler} {rng.choice(['commit', 'sha1', 'sha256', 'md5', 'checksum', 'rev'])}{rng.choice([' ', ': ', '='])}", " ", path, 0
     if kind == 1:  # numbers
-        return pick(string.digits, rng.randint(16, 24)), f"{filler} ", rng.choice([" ", ".", "$"]), path, 0
+        return pick(string.digits, rng.randint(8, 24)), f"{filler} {rng.choice(['', 'order ', 'id: '])}", rng.choice([" ", ".", "$"]), path, 0
     if kind == 2:  # identifiers
-        return (words(rng.randint(4, 7), rng.choice(["_", "-", ""])) + str(rng.randrange(100)))[:80].ljust(16, "0"), f"{filler} ", " ", path, 0
+        name = rng.choice([several(rng.randint(2, 5), rng.choice(["_", "-"])), "".join(word().capitalize() for _ in range(rng.randint(2, 4))), word() + "".join(word().capitalize() for _ in range(2))])
+        return (name + rng.choice(["", str(rng.randrange(100))])).ljust(MIN_LENGTH, "x"), f"{filler} {rng.choice(['', 'name = ', 'class '])}", rng.choice([" ", "(", "."]), path, 0
     if kind == 3:  # paths
-        return words(4, "/") + f"/{rng.randrange(10000)}", f"{filler} https://www.", " ", path, 0
+        return several(4, "/") + f"/{rng.randrange(10000)}", f"{filler} https://www.", " ", path, 0
     if kind == 4:  # placeholders
-        return rng.choice("xX0*a1").replace("*", "x") * rng.randint(15, 39) + "1", f'{filler} {rng.choice(["token", "password", "api_key"])} = "', '"', path, 0
+        return rng.choice([rng.choice("xX0*a1").replace("*", "x") * rng.randint(8, 39), "your_" + rng.choice(["token", "key", "password"]) + "_here", "changeme", "example-" + word()]), f'{filler} {rng.choice(["token", "password", "api_key"])} = "', '"', path, 0
     if kind == 5:  # uuids
         h = pick("0123456789abcdef", 32)
-        return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}", f"{filler} {rng.choice(['id', 'uuid', 'page'])}: ", " ", path, 0
-    return words(5, "") + str(rng.randrange(1000)), f'{filler} name = "', '"', "docs/example", 0  # values that are words
+        return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}", f"{filler} {rng.choice(['id', 'uuid', 'page'])}{rng.choice([': ', '=', ' '])}", " ", path, 0
+    if kind == 6:  # dates and versions
+        return rng.choice([f"2024-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"20240{rng.randint(1, 9)}{rng.randint(10, 28)}T{pick(string.digits, 6)}", f"v{rng.randrange(9)}-{rng.randrange(99)}-{word()}"]).ljust(MIN_LENGTH, "0"), f"{filler} {rng.choice(['version ', 'build: ', 'date = ', ''])}", " ", path, 0
+    if kind in (7, 8):  # values and plain words that are long
+        return (word() + word() + word())[:40].ljust(MIN_LENGTH, "e"), f"{filler} {rng.choice(['', '', 'name = ', 'title: ', 'the token '])}", rng.choice([" ", ".", ","]), path, 0
+    return several(3, "") + str(rng.randrange(1000)), f'{filler} name = "', '"', "docs/example", 0  # values that are words
 
 
-def _line(number: int) -> Iterator[tuple[list[float], float]]:
-    """(measures, label) of each candidate of the made-up line, as candidate_table cuts them; label 1: the secret."""
-    found, before, after, path, label = _finding(number)
-    text = before + found + after
-    for m in _RUN.finditer(text):
-        a, b = m.span()
-        yield measure(m[0], text[max(0, a - _NEIGHBOURS) : a], text[b : b + 1], path), float(label and m.span() == (len(before), len(before) + len(found)))
-
-
-def labelled_findings(spark: SparkSession, n: int = N_FINDINGS) -> DataFrame:
-    """(number, FEATURES..., label) of the candidates of n made-up lines, half of which hold a secret, alike in every
-    session."""
+def labelled_findings(spark: SparkSession, language: Language, n: int = N_FINDINGS) -> DataFrame:
+    """(number, FEATURES..., label) of the candidates of n made-up lines, as the scan cuts and measures them; half of the
+    lines hold a secret. Equal languages give equal findings. Names and fillers are words of the corpus, which take no part
+    in the labels."""
+    blob = spark.sparkContext.broadcast(language)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measures, words = Measures(blob.value), sorted(w for w in blob.value.words if w.isascii() and w.isalpha())
         for batch in batches:
-            made = [(i, *x) for i in batch.column(0).to_pylist() for x in _line(i)]
+            made = []
+            for i in batch.column(0).to_pylist():
+                found, before, after, path, label = _finding(i, words)
+                text = before + found + after
+                secret = (len(before), len(before) + len(found))
+                made += [(i, measures.of(text, *m.span(), path), float(label and m.span() == secret)) for m in _RUN.finditer(text)]
             columns = zip(*(x[1] for x in made), strict=True) if made else [[] for _ in FEATURES]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), *(pa.array(c, pa.float64()) for c in columns), pa.array([x[2] for x in made], pa.float64())], ["number", *FEATURES, "label"])
 
-    schema = "number long, " + ", ".join(f"{f} double" for f in FEATURES) + ", label double"
-    return spark.range(0, n, 1, 4).mapInArrow(make, schema)
+    return spark.range(0, n, 1, 4).mapInArrow(make, "number long, " + ", ".join(f"{f} double" for f in FEATURES) + ", label double")
 
 
-def train_forest(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 11) -> PipelineModel:
-    """A forest from rows of FEATURES and label (1: a secret). Rows are put in order first, so that equal findings
-    give an equal forest however they were dealt."""
-    ordered = findings.orderBy(*[c for c in findings.columns]).coalesce(1)
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_predicted", numTrees=trees, maxDepth=depth, seed=seed)
-    return PipelineModel([assembler, forest.fit(assembler.transform(ordered))])
+_FOUND = [("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]
 
 
-def scan_secrets(docs: DataFrame, model: PipelineModel, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(id, start, end, p) of each candidate: p is the share of the forest's votes for a secret. Rows of docs without
-    candidates, null and empty texts among them, give none; rows with null ids give rows with null ids."""
-    judged = model.transform(candidate_table(docs, id_col, text_col, path_col))
-    return judged.select("id", "start", "end", vector_to_array("_probability")[1].alias("p"))
+def scan_secrets(docs: DataFrame, forest: Forest, language: Language, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """(id, n_candidates, secrets, max_p) for each row of docs: secrets are start, end (code points) and p of candidates
+    that at least half of the forest's votes take for a secret, max_p is the largest share of any candidate, or 0.
+
+    One pass, no shuffle: candidates are judged where they are found. Null texts and paths count as empty, null ids stay
+    null, repeated rows get equal results, empty tables give no rows, other columns are ignored.
+    """
+    path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit("")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path"))
+    blob = docs.sparkSession.sparkContext.broadcast((forest, language))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, measures = blob.value[0], Measures(blob.value[1])
+        for batch in batches:
+            counts, secrets, most = [], [], []
+            for text, path in zip(batch.column(1), batch.column(2), strict=True):
+                text, path = text.as_py() or "", path.as_py() or ""
+                n, best, found = 0, 0.0, []
+                for spans in _parts(text):
+                    p = trees.probability(np.array([measures.of(text, a, b, path) for a, b in spans]))
+                    n, best = n + len(spans), max(best, float(p.max()))
+                    found += [{"start": spans[k][0], "end": spans[k][1], "p": float(p[k])} for k in np.flatnonzero(p >= 0.5).tolist()]
+                counts.append(n)
+                secrets.append(found)
+                most.append(best)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(secrets, pa.list_(pa.struct(_FOUND))), pa.array(most, pa.float64())], ["id", "n_candidates", "secrets", "max_p"])
+
+    kind = own.schema["id"].dataType.simpleString()
+    return own.mapInArrow(scan, f"id {kind}, n_candidates long, secrets array<struct<start:int,end:int,p:double>>, max_p double")
+
+
+def _parts(text: str) -> Iterator[list[tuple[int, int]]]:
+    """The spans of a text's candidates, some thousand at a time."""
+    spans: list[tuple[int, int]] = []
+    for m in _RUN.finditer(text):
+        spans.append(m.span())
+        if len(spans) >= 5000:
+            yield spans
+            spans = []
+    if spans:
+        yield spans
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: its candidates, those judged to be secrets (p >= 0.5), their spans, the largest p."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    model = train_forest(written(labelled_findings(spark), "findings"))
-    found = scan_secrets(docs, model).distinct().withColumn("secret", F.col("p") >= 0.5)
-    span = F.when(F.col("secret"), F.struct("start", "end"))
-    by_doc = found.groupBy("id").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if("secret").alias("n_secrets"), F.sort_array(F.collect_list(span)).alias("spans"), F.round(F.max("p"), 6).alias("max_p"))
-    listed = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
-    zero = F.lit(0).cast("long")
-    return docs.select("doc_id").join(by_doc, F.col("doc_id") == F.col("id"), "left").select(
-        "doc_id", F.coalesce("n_candidates", zero).alias("n_candidates"), F.coalesce("n_secrets", zero).alias("n_secrets"), F.coalesce(listed, F.lit("")).alias("spans"), F.coalesce("max_p", F.lit(0.0)).alias("max_p")
-    )
+    language = learn_language(docs)
+    forest = train_forest(written(labelled_findings(spark, language), "findings"))
+    listed = F.array_join(F.transform("secrets", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
+    return scan_secrets(docs, forest, language).select(F.col("id").alias("doc_id"), "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), listed.alias("spans"), F.round("max_p", 6).alias("max_p"))
 
 
 QUERIES = {"op2_secret_scan": op2_secret_scan}
