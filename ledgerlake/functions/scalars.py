@@ -9,12 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PACK_PREFIX, PACK_SUFFIX = "packs/", ".7z"
-EDGE = 64
+EDGE = 4096
 
 
-def content_hashes(text: Column, edge: int = EDGE) -> dict[str, Column]:
-    """head, tail and whole digest of a content column: md5 of the first and last `edge` characters and of all."""
-    return {"head_hash": F.md5(F.substring(text, 1, edge)), "tail_hash": F.md5(F.right(text, F.lit(edge))), "full_hash": F.md5(text)}
+def content_hashes(content: Column, edge: int = EDGE) -> dict[str, Column]:
+    """head, tail and whole digest of a content: md5 of its first and last `edge` bytes and of all."""
+    data = content.cast("binary")
+    tail = F.substring(data, F.greatest(F.lit(1), F.octet_length(data) - (edge - 1)), F.lit(edge))
+    return {"head_hash": F.md5(F.substring(data, 1, edge)), "tail_hash": F.md5(tail), "full_hash": F.md5(data)}
 
 
 def content_key(full: Column, length: Column, head: Column, tail: Column) -> Column:
@@ -38,10 +40,34 @@ def data_address(full: Column, key: bytes | None = None) -> Column:
     put together from two sha2 calls, so it stays in the JVM."""
     if key is None:
         return F.concat(F.lit("data/"), full)
+    return F.concat(F.lit("data/"), F.substring(hmac_hex(key, full), 1, 32))
+
+
+def hmac_hex(key: bytes, text: Column) -> Column:
     block = (key if len(key) <= 64 else hashlib.sha256(key).digest()).ljust(64, b"\0")
     inner, outer = bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
-    first = F.unhex(F.sha2(F.concat(F.lit(inner), full.cast("binary")), 256))
-    return F.concat(F.lit("data/"), F.substring(F.sha2(F.concat(F.lit(outer), first), 256), 1, 32))
+    first = F.unhex(F.sha2(F.concat(F.lit(inner), text.cast("binary")), 256))
+    return F.sha2(F.concat(F.lit(outer), first), 256)
+
+
+def verifiers(full: Column, length: Column, head: Column, tail: Column, key: bytes | None = None) -> Column:
+    """map<string,string> that is stored beside a content: len, and head and tail where known; with a key one value, v, of
+    all four, or v1 of digest and length where an edge is unknown."""
+    size = length.cast("string")
+    if key is None:
+        known = F.array(F.struct(F.lit("len").alias("k"), size.alias("v")), F.struct(F.lit("head").alias("k"), head.alias("v")), F.struct(F.lit("tail").alias("k"), tail.alias("v")))
+        return F.map_from_entries(F.filter(known, lambda e: e["v"].isNotNull()))
+    return F.when(head.isNull() | tail.isNull(), F.create_map(F.lit("v1"), hmac_hex(key, F.concat(F.lit("v1|"), full, F.lit("|"), size)))).otherwise(F.create_map(F.lit("v"), hmac_hex(key, F.concat_ws("|", full, size, head, tail))))
+
+
+def verified(meta: Column, full: Column, length: Column, head: Column, tail: Column, key: bytes | None = None) -> Column:
+    """Whether stored verifiers stand for a content. A key that is absent has no vote; without len, or v and v1, nothing is
+    against it. v goes before v1."""
+    size, agrees = length.cast("string"), lambda k, v: meta[k].isNull() | (meta[k] == v)
+    if key is None:
+        return F.when(meta["len"].isNull(), True).otherwise((meta["len"] == size) & agrees("head", head) & agrees("tail", tail))
+    whole, narrow = hmac_hex(key, F.concat_ws("|", full, size, head, tail)), hmac_hex(key, F.concat(F.lit("v1|"), full, F.lit("|"), size))
+    return F.when(meta["v"].isNotNull(), meta["v"] == whole).when(meta["v1"].isNotNull(), meta["v1"] == narrow).otherwise(True)
 
 
 def parent_dir(path: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import content_key, data_address
+from .scale import join_each
 
 _KEY = ["full_hash", "length", "head_hash", "tail_hash"]
 
@@ -14,16 +15,17 @@ def known_blobs(probes: DataFrame, prior: DataFrame) -> DataFrame:
     """probes with ref and volumes of the content's own object, if an earlier version has all four parts of its
     identity; the newest version wins. prior(version, full_hash, length, head_hash, tail_hash, ref, volumes)."""
     newest = prior.groupBy(*_KEY).agg(F.max_by(F.struct("ref", "volumes"), "version").alias("found"))
-    return probes.join(newest, _KEY, "left").withColumn("ref", F.col("found.ref")).withColumn("volumes", F.col("found.volumes")).drop("found")
+    return join_each(probes, newest, _KEY, "path").withColumn("ref", F.col("found.ref")).withColumn("volumes", F.col("found.volumes")).drop("found")
 
 
 def known_members(probes: DataFrame, prior: DataFrame) -> DataFrame:
     """probes with pack_id and entry_name of a pack's member with the same content; the oldest version wins. Tails
     must be equal, where two missing ones are."""
-    oldest = prior.groupBy(*_KEY).agg(F.min_by(F.struct("pack_id", "entry_name"), "version").alias("found")).alias("m")
-    p = probes.alias("p")
-    on = (F.col("p.full_hash") == F.col("m.full_hash")) & (F.col("p.length") == F.col("m.length")) & (F.col("p.head_hash") == F.col("m.head_hash")) & F.col("p.tail_hash").eqNullSafe(F.col("m.tail_hash"))
-    return p.join(oldest, on, "left").select("p.*", F.col("found.pack_id").alias("pack_id"), F.col("found.entry_name").alias("entry_name"))
+    oldest = prior.groupBy(*_KEY).agg(F.min_by(F.struct("pack_id", "entry_name"), "version").alias("found"))
+    # a missing tail is a value of its own here
+    tail = lambda df: df.withColumn("_tail", F.coalesce(F.concat(F.lit("="), F.col("tail_hash")), F.lit("")))
+    joined = join_each(tail(probes), tail(oldest).drop("tail_hash"), ["full_hash", "length", "head_hash", "_tail"], "path")
+    return joined.select(*probes.columns, F.col("found.pack_id").alias("pack_id"), F.col("found.entry_name").alias("entry_name"))
 
 
 def prescreen(probes: DataFrame, prior: DataFrame) -> DataFrame:
@@ -33,10 +35,10 @@ def prescreen(probes: DataFrame, prior: DataFrame) -> DataFrame:
 
 def aliases(rows: DataFrame) -> DataFrame:
     """rows with leader: the first path of the same content, by path; null where a part of the identity is missing.
-    Counted with a minimum and joined, so that a content of any number of paths is one row by then."""
+    A content is one row before it is joined, and the rows of one that very many paths have are dealt over several tasks."""
     whole = F.col("full_hash").isNotNull() & F.col("head_hash").isNotNull() & F.col("tail_hash").isNotNull() & F.col("length").isNotNull()
     first = rows.where(whole).groupBy(*_KEY).agg(F.min("path").alias("leader"))
-    return rows.join(first, _KEY, "left")
+    return join_each(rows, first, _KEY, "path")
 
 
 def backfill_aliases(rows: DataFrame, stored: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ancestors
+from .scale import small
 
 ADDED, MODIFIED, METADATA, UNREADABLE, UNCHANGED, DELETED = "Added", "Modified", "MetadataOnly", "Unreadable", "Unchanged", "Deleted"
 _SIDE = ("kind", "length", "mtime_ticks", "permissions", "target", "head_hash", "tail_hash", "full_hash")
@@ -28,10 +29,15 @@ def comparison(a: str, b: str) -> Column:
 
 def under_directories(rows: DataFrame, dirs: DataFrame, path: str = "path") -> DataFrame:
     """(path, directory) of rows that are below one of dirs(path); the root is "" or ".". Each path is joined by its
-    ancestors, so the join is an equality whatever the number of directories; nearest directory first wins."""
-    exploded = rows.select(path).distinct().withColumn("directory", F.explode(F.concat(F.array(F.lit("")), ancestors(F.col(path)))))
+    ancestors, so the join is an equality whatever the number of directories; nearest directory first wins. A short list
+    of directories is broadcast; the root, which all paths are below, is no key of the join."""
+    every = rows.select(path).distinct()
     wanted = dirs.select(F.when(F.col("path") == ".", "").otherwise(F.col("path")).alias("directory")).distinct()
-    return exploded.join(wanted, "directory").groupBy(path).agg(F.max_by("directory", F.length("directory")).alias("directory"))
+    exploded = every.withColumn("directory", F.explode(ancestors(F.col(path))))
+    found = exploded.join(small(wanted.where("directory <> ''")), "directory").groupBy(path).agg(F.max_by("directory", F.length("directory")).alias("directory"))
+    root = wanted.where("directory = ''").agg(F.count(F.lit(1)).alias("_root"))  # one row
+    placed = every.join(found, path, "left").crossJoin(F.broadcast(root))
+    return placed.where("directory is not null or _root > 0").select(path, F.coalesce("directory", F.lit("")).alias("directory"))
 
 
 def manifest_diff(scan: DataFrame, previous: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scale import sum_before
+
 WINDOW_MS, QUIET_MS, MAX_SAMPLES = 10_000, 200, 256
 
 
@@ -37,13 +40,21 @@ def throttle(events: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stage, last = None, None
         for batch in batches:
-            keep = []
-            for s, ms, forced in zip(batch["stage"], batch["ms"], batch["forced"], strict=True):
-                if s != stage:
-                    stage, last = s, None
-                emit = bool(forced) or last is None or ms - last >= quiet_ms
-                last = ms if emit else last
-                keep.append(emit)
+            keep = np.zeros(len(batch), bool)
+            names, ms, forced = batch["stage"].to_numpy(), batch["ms"].to_numpy(), np.flatnonzero(batch["forced"].fillna(False).to_numpy(bool))
+            starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))).tolist() if len(batch) else []
+            for start, end in zip(starts, [*starts[1:], len(batch)], strict=True):
+                if names[start] != stage:
+                    stage, last = names[start], None
+                i = start
+                while i < end:  # from one emitted event to the next
+                    due = i if last is None else i + int(np.searchsorted(ms[i:end], last + quiet_ms, "left"))
+                    k = int(np.searchsorted(forced, i, "left"))
+                    i = min(due, int(forced[k]) if k < len(forced) else end)
+                    if i >= end:
+                        break
+                    keep[i], last = True, ms[i]
+                    i += 1
             yield batch[keep]
 
     return events.repartition("stage").sortWithinPartitions("stage", "ms").mapInPandas(run, schema)
@@ -81,7 +92,7 @@ def stratified_sample(rows: DataFrame, bucket: str, order: str, cap: int = 200)
     if quota is None:
         return rows
     n = F.create_map(*[F.lit(x) for b in sizes for x in (b, sizes[b])])
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(bucket).orderBy(order)) - 1).withColumn("_q", quota[F.col(bucket)]).withColumn("_s", n[F.col(bucket)])
+    numbered = sum_before(rows, [bucket], [order], out="_n").withColumn("_q", quota[F.col(bucket)]).withColumn("_s", n[F.col(bucket)])
     # the next multiple of size / quota at or after the row falls on it
     return numbered.where(F.expr("_q > 0 AND ((_n * _q + _s - 1) div _s) < _q AND (((_n * _q + _s - 1) div _s) * _s) div _q = _n")).drop("_n", "_q", "_s")
 

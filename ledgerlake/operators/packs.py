@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import argument_bytes, parent_dir
+from .scale import sum_before
 
 SINGLE, BY_DIRECTORY, CROSS = "single", "directory", "cross"
 
@@ -32,7 +34,8 @@ def greedy_packs(files: DataFrame, groups: list[str], cap: int, max_members: int
     a file over a limit still gets a pack of its own.
 
     The sealing depends on all that went before, so a group is one sorted run; rows stream through a task in batches
-    and only the open pack's three sums are kept, however large the group is.
+    and only the open pack's three sums are kept, however large the group is. Running sums are searched, so the steps are
+    one for each pack and not for each file.
     """
     named = files.withColumn("_bytes", argument_bytes(F.col("path")))
     dealt = named.repartition(*groups).sortWithinPartitions(*groups, "path", "length")
@@ -42,15 +45,25 @@ def greedy_packs(files: DataFrame, groups: list[str], cap: int, max_members: int
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, pack, total, members, paths = None, 0, 0, 0, 0
         for batch in batches:
-            out = []
-            keys = list(zip(*(batch[g] for g in groups), strict=True))
-            for key, length, size in zip(keys, batch["length"], batch["_bytes"], strict=True):
+            out = np.empty(len(batch), np.int64)
+            starts = np.flatnonzero((batch[groups] != batch[groups].shift()).any(axis=1).to_numpy()).tolist() if len(batch) else []
+            lengths, sizes = batch["length"].to_numpy(np.int64), batch["_bytes"].to_numpy(np.int64)
+            for start, end in zip(starts, [*starts[1:], len(batch)], strict=True):
+                key = tuple(batch[groups].iloc[start])
                 if key != at:
                     at, pack, total, members, paths = key, 0, 0, 0, 0
-                elif total + length > cap or members + 1 > max_members or paths + size > max_path_bytes:
-                    pack, total, members, paths = pack + 1, 0, 0, 0
-                total, members, paths = total + int(length), members + 1, paths + int(size)
-                out.append(pack)
+                # running sums of the run; each round takes as many files as the open pack has room for
+                size, names = np.concatenate(([0], np.cumsum(lengths[start:end]))), np.concatenate(([0], np.cumsum(sizes[start:end])))
+                i, n = 0, end - start
+                while i < n:
+                    room = min(int(np.searchsorted(size, size[i] + cap - total, "right")), int(np.searchsorted(names, names[i] + max_path_bytes - paths, "right")), i + max_members - members + 1) - 1
+                    take = max(room, i + 1) if members == 0 else max(room, i)
+                    out[start + i : start + min(take, n)] = pack
+                    take = min(take, n)
+                    total, members, paths = total + int(size[take] - size[i]), members + take - i, paths + int(names[take] - names[i])
+                    i = take
+                    if i < n:
+                        pack, total, members, paths = pack + 1, 0, 0, 0
             yield batch[columns].assign(pack=pd.array(out, dtype="int64"))
 
     return dealt.mapInPandas(fold, schema)
@@ -69,9 +82,8 @@ def requeue(changed: DataFrame, threshold: int, max_attempts: int = 5) -> DataFr
 
 def number_packs(packed: DataFrame) -> DataFrame:
     """packed with pack_number from 1: directories in order, compressed packs before stored ones, the cross lane
-    last. Only one row a pack is ranked; the counts of packs before a group are summed up over groups."""
+    last. One row a group is put in order, over ranges of groups."""
     group = ["lane", "dir", "store_only"]
-    sizes = packed.groupBy(*group).agg((F.max("pack") + 1).alias("packs"))
-    order = Window.orderBy(F.when(F.col("lane") == CROSS, 1).otherwise(0), "dir", "store_only")
-    before = sizes.withColumn("before", F.sum("packs").over(order) - F.col("packs")).drop("packs")
+    sizes = packed.groupBy(*group).agg((F.max("pack") + 1).alias("packs")).withColumn("last", (F.col("lane") == CROSS).cast("int"))
+    before = sum_before(sizes, [], ["last", "dir", "store_only"], "packs").drop("packs", "last")
     return packed.join(before, group).withColumn("pack_number", F.col("before") + F.col("pack") + 1).drop("before")

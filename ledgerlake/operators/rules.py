@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ancestors
+from .scale import small
 
 
 @dataclass(frozen=True)
@@ -82,10 +83,12 @@ def with_scope_rule(rules: list[tuple[str, bool]], prefix: str, included: bool)
 
 def in_scope(rows: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     """rows with in_scope: what the longest matching prefix of rules(prefix, included) says, else true. Paths are
-    joined by their ancestors and themselves, so it is an equality join for any number of rules."""
-    keyed = rows.select(path).distinct().withColumn("prefix", F.explode(F.concat(F.array(F.lit("")), ancestors(F.col(path)), F.array(F.col(path)))))
-    said = keyed.join(rules, "prefix").groupBy(path).agg(F.max_by("included", F.length("prefix")).alias("_said"))
-    return rows.join(said, path, "left").withColumn("in_scope", F.coalesce("_said", F.lit(True))).drop("_said")
+    joined by their ancestors and themselves, so it is an equality join for any number of rules; a short list is
+    broadcast, and what is said of the root, which all paths are below, is no key of the join."""
+    keyed = rows.select(path).distinct().withColumn("prefix", F.explode(F.concat(ancestors(F.col(path)), F.array(F.col(path)))))
+    root = rules.where("prefix = ''").agg(F.max("included").alias("_root"))  # one row
+    said = keyed.join(small(rules.where("prefix <> ''")), "prefix").groupBy(path).agg(F.max_by("included", F.length("prefix")).alias("_said"))
+    return rows.join(said, path, "left").crossJoin(F.broadcast(root)).withColumn("in_scope", F.coalesce("_said", "_root", F.lit(True))).drop("_said", "_root")
 
 
 def may_contain_included(dirs: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:

@@ -29,10 +29,14 @@ def _query(sql: str | None = None, *ctes: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import upkeep  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import upkeep  # noqa: F401
+
     return dict(_ORACLES)
 
 

@@ -6,7 +6,7 @@ import pytest
 from ledgerlake.operators.rules import compile_ignore_rules
 from ledgerlake.sources.files import scan_files
 from ledgerlake.sources.journals import read_journals
-from ledgerlake.sources.tables import insert_absent, upserted, write_version
+from ledgerlake.sources.tables import append_records, current_etag, insert_absent, replace_if_match, upserted, write_version
 from ledgerlake.streaming.replay import record_stream, replay, replayed
 
 
@@ -36,6 +36,16 @@ def test_sinks(spark, tmp_path):
     assert write_version(rows, f"{tmp_path}/v", 1) == 2 and write_version(rows.limit(1), f"{tmp_path}/v", 2) == 1
     with pytest.raises(ValueError, match="already"):
         write_version(rows, f"{tmp_path}/v", 1)
+    assert write_version(rows.limit(0), f"{tmp_path}/v", 3) == 0 and spark.read.parquet(f"{tmp_path}/v").groupBy("version").count().count() == 2
+    first = replace_if_match(rows, f"{tmp_path}/i", None)
+    second = replace_if_match(rows.limit(1), f"{tmp_path}/i", first)
+    for old in (None, first):
+        with pytest.raises(ValueError, match="changed"):
+            replace_if_match(rows, f"{tmp_path}/i", old)
+    assert current_etag(spark, f"{tmp_path}/i") == second and spark.read.parquet(f"{tmp_path}/i/etag={second}").count() == 1
+    journal = spark.createDataFrame([("r1", "p"), ("r2", "q")], "ref string, path string")
+    append_records(journal, f"{tmp_path}/j", spark.createDataFrame([("r2",)], "ref string"))
+    assert [r.path for r in spark.read.json(f"{tmp_path}/j").collect()] == ["q"]
     insert_absent(rows, f"{tmp_path}/k", ["path"])
     insert_absent(spark.createDataFrame([("b", 9), ("c", 3), (None, 4)], rows.schema), f"{tmp_path}/k", ["path"])
     kept = spark.read.parquet(f"{tmp_path}/k")
