@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,10 @@ _SECRET_WORDS = re.compile(r"(?i)token|secret|passw|pwd|api_?-?key|access_?-?key
 #: What keys of known services begin with; such a key needs no word before it.
 _KEY_PREFIX = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|[sr]k_(?:live|test)_|sk-|xox[abprs]-|AIza|npm_|hf_|eyJ)")
 _HARMLESS_WORDS = re.compile(r"(?i)\b(?:commit|sha\d*|md5|uuid|guid|checksum|digest|etag|rev|revision|build|page|id|isbn|order|phone|card|name|version|file|path|class|function)\b")
+#: A text without any of these holds none of the words above, and is not searched for them.
+_SECRET_PARTS = ("token", "secret", "passw", "pwd", "key", "credential", "auth", "bearer")
+_HARMLESS_PARTS = ("commit", "sha", "md5", "uuid", "guid", "checksum", "digest", "etag", "rev", "build", "page", "id", "isbn", "order", "phone", "card", "name", "version", "file", "path", "class", "function")
+_QUOTES = ('"', "'", "`")
 _ASSIGNED = re.compile(r"[=:]\s*[\"'`]?\Z")
 _KINDS = {**dict.fromkeys(string.ascii_lowercase, 0), **dict.fromkeys(string.ascii_uppercase, 1), **dict.fromkeys(string.digits, 2)}
 _PATHLIKE = re.compile(r"(?i)(?:https?://|www\.|[./\\][\w-]+/|\.(?:html?|php|png|jpe?g|js|css)\b)")
@@ -96,45 +101,76 @@ class Measures:
     """FEATURES of candidates. What a candidate's own characters say is kept for those seen last."""
 
     def __init__(self, language: Language):
-        self.language = language
+        self.chances = language.transitions.tolist()
+        self.words = language.words
+        self.beginnings = {w[:SHORTEST] for w in language.words}
         self.own = lru_cache(50_000)(self._own)
         self.documented = lru_cache(10_000)(lambda path: bool(re.search(r"(?i)\b(?:test|example|sample|doc)s?\b", path)))
 
     def _own(self, found: str) -> tuple[float, ...]:
-        counts, n, low = Counter(found), len(found), found.lower()
-        kinds = [_KINDS.get(c, 3) for c in found]
-        codes = np.frombuffer(b"\0" + found.encode().translate(_CLASS_OF) + b"\0", np.uint8)
+        n, low = len(found), found.lower()
+        counts = [found.count(c) for c in set(found)]
+        if found.islower() and found.isalpha():
+            changes = digits = 0
+        else:
+            kinds = [_KINDS.get(c, 3) for c in found]
+            changes, digits = sum(map(ne, kinds, kinds[1:])), kinds.count(2)
+        before, chance = 0, 0.0
+        for code in found.encode().translate(_CLASS_OF) + b"\0":
+            chance += self.chances[before][code]
+            before = code
         at = covered = 0
-        while at < n:  # the longest word from each place on
-            step = next((k for k in range(min(LONGEST, n - at), SHORTEST - 1, -1) if low[at : at + k] in self.language.words), 0)
+        while at <= n - SHORTEST:  # the longest word from each place on
+            step = 0
+            if low[at : at + SHORTEST] in self.beginnings:
+                step = next((k for k in range(min(LONGEST, n - at), SHORTEST - 1, -1) if low[at : at + k] in self.words), 0)
             covered += step
             at += step or 1
         return (
             float(min(n, 256)),
-            -sum(c / n * math.log2(c / n) for c in counts.values()),
-            sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
-            float(self.language.transitions[codes[:-1], codes[1:]].mean()),
-            kinds.count(2) / n,
-            float(all(c in "0123456789abcdef" for c in low)),
+            math.log2(n) - sum(c * math.log2(c) for c in counts if c > 1) / n,
+            changes / max(1, n - 1),
+            chance / (n + 1),
+            digits / n,
+            float(not low.strip("0123456789abcdef")),
             covered / n,
-            max(counts.values()) / n,
+            max(counts) / n,
         )
 
-    def of(self, text: str, a: int, b: int, path: str) -> tuple[float, ...]:
-        """Of the candidate text[a:b], from itself, what stands around it, and the path (or source) of its text."""
-        found = text[a:b]
-        *own, same_char = self.own(found)
-        near = text[max(0, a - _NEIGHBOURS) : a]
-        quoted = near[-1:] in ('"', "'", "`") and text[b : b + 1] in ('"', "'", "`")
-        return (
-            *own,
-            float(_PATHLIKE.search(near[-12:] + found) is not None or self.documented(path)),
-            float(_ASSIGNED.search(near[-6:]) is not None),
-            float(quoted),
-            float(_SECRET_WORDS.search(near) is not None or _KEY_PREFIX.match(found) is not None),
-            float(_HARMLESS_WORDS.search(near) is not None),
-            same_char,
-        )
+    def of_text(self, text: str, spans: list[tuple[int, int]], path: str) -> Iterator[tuple[float, ...]]:
+        """Of the candidates at spans, from themselves, what stands around them, and the path (or source) of their text."""
+        folded, documented = text.lower(), self.documented(path)
+        secret = _Before(_SECRET_WORDS, text) if any(w in folded for w in _SECRET_PARTS) else None
+        harmless = _Before(_HARMLESS_WORDS, text) if any(w in folded for w in _HARMLESS_PARTS) else None
+        for a, b in spans:
+            found = text[a:b]
+            *own, same_char = self.own(found)
+            near = text[max(0, a - 12) : a]
+            pathlike = documented or (("." in near or "/" in near or "\\" in near or "/" in found) and _PATHLIKE.search(near + found) is not None)
+            assigned = ("=" in near or ":" in near) and _ASSIGNED.search(near) is not None
+            quoted = near[-1:] in _QUOTES and text[b : b + 1] in _QUOTES
+            yield (
+                *own,
+                float(pathlike),
+                float(assigned),
+                float(quoted),
+                float((secret is not None and secret.within(a)) or _KEY_PREFIX.match(found) is not None),
+                float(harmless is not None and harmless.within(a)),
+                same_char,
+            )
+
+
+class _Before:
+    """Whether a word of a pattern stands in the _NEIGHBOURS characters before a place; places come in ascending order."""
+
+    def __init__(self, pattern: re.Pattern, text: str):
+        self.spans, self.at, self.last = [m.span() for m in pattern.finditer(text)], 0, -1
+
+    def within(self, place: int) -> bool:
+        while self.at < len(self.spans) and self.spans[self.at][1] <= place:
+            self.last = self.spans[self.at][0]
+            self.at += 1
+        return self.last >= 0 and self.last >= place - _NEIGHBOURS
 
 
 @dataclass(frozen=True)
@@ -248,13 +284,16 @@ def labelled_findings(spark: SparkSession, language: Language, n: int = N_FINDIN
                 found, before, after, path, label = _finding(i, words)
                 text = before + found + after
                 secret = (len(before), len(before) + len(found))
-                made += [(i, measures.of(text, *m.span(), path), float(label and m.span() == secret)) for m in _RUN.finditer(text)]
+                spans = [m.span() for m in _RUN.finditer(text)]
+                made += [(i, row, float(label and span == secret)) for span, row in zip(spans, measures.of_text(text, spans, path), strict=True)]
             columns = zip(*(x[1] for x in made), strict=True) if made else [[] for _ in FEATURES]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), *(pa.array(c, pa.float64()) for c in columns), pa.array([x[2] for x in made], pa.float64())], ["number", *FEATURES, "label"])
 
     return spark.range(0, n, 1, 4).mapInArrow(make, "number long, " + ", ".join(f"{f} double" for f in FEATURES) + ", label double")
 
 
+#: Candidates whose measures are held at a time.
+JUDGED_AT_ONCE = 20_000
 _FOUND = [("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]
 
 
@@ -272,35 +311,34 @@ def scan_secrets(docs: DataFrame, forest: Forest, language: Language, id_col: st
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, measures = blob.value[0], Measures(blob.value[1])
         for batch in batches:
-            counts, secrets, most = [], [], []
-            for text, path in zip(batch.column(1), batch.column(2), strict=True):
-                text, path = text.as_py() or "", path.as_py() or ""
-                n, best, found = 0, 0.0, []
-                for spans in _parts(text):
-                    p = trees.probability(np.array([measures.of(text, a, b, path) for a, b in spans]))
-                    n, best = n + len(spans), max(best, float(p.max()))
-                    found += [{"start": spans[k][0], "end": spans[k][1], "p": float(p[k])} for k in np.flatnonzero(p >= 0.5).tolist()]
-                counts.append(n)
-                secrets.append(found)
-                most.append(best)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(secrets, pa.list_(pa.struct(_FOUND))), pa.array(most, pa.float64())], ["id", "n_candidates", "secrets", "max_p"])
+            counts, most, secrets = np.zeros(len(batch), np.int64), np.zeros(len(batch)), [[] for _ in range(len(batch))]
+            rows, places = [], []
+
+            def judge(counts=counts, most=most, secrets=secrets, rows=rows, places=places) -> None:
+                p, owner = trees.probability(np.array(rows)), np.array([x[0] for x in places])
+                np.add.at(counts, owner, 1)
+                np.maximum.at(most, owner, p)
+                for k in np.flatnonzero(p >= 0.5).tolist():
+                    secrets[places[k][0]].append({"start": places[k][1], "end": places[k][2], "p": float(p[k])})
+                rows.clear()
+                places.clear()
+
+            for i, (text, path) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                text = text.as_py() or ""
+                spans = [m.span() for m in _RUN.finditer(text)]
+                for span, row in zip(spans, measures.of_text(text, spans, path.as_py() or "") if spans else (), strict=True):
+                    rows.append(row)
+                    places.append((i, *span))
+                    if len(rows) >= JUDGED_AT_ONCE:
+                        judge()
+            if rows:
+                judge()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(secrets, pa.list_(pa.struct(_FOUND))), pa.array(most)], ["id", "n_candidates", "secrets", "max_p"])
 
     kind = own.schema["id"].dataType.simpleString()
     return own.mapInArrow(scan, f"id {kind}, n_candidates long, secrets array<struct<start:int,end:int,p:double>>, max_p double")
 
 
-def _parts(text: str) -> Iterator[list[tuple[int, int]]]:
-    """The spans of a text's candidates, some thousand at a time."""
-    spans: list[tuple[int, int]] = []
-    for m in _RUN.finditer(text):
-        spans.append(m.span())
-        if len(spans) >= 5000:
-            yield spans
-            spans = []
-    if spans:
-        yield spans
-
-
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: its candidates, those judged to be secrets (p >= 0.5), their spans, the largest p."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
