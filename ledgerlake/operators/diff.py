@@ -72,8 +72,13 @@ def change_summary(changes: DataFrame) -> DataFrame:
     )
 
 
-def version_stats(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("version").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+def version_stats(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """(version, files, bytes, changed_files, changed_bytes): what a version has, and what of it was Added or Modified, from
+    changes(version, change, length)."""
+    stats = entries.groupBy("version").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    changed = changes.where(F.col("change").isin(ADDED, MODIFIED)).groupBy("version").agg(F.count(F.lit(1)).alias("changed_files"), F.sum("length").alias("changed_bytes"))
+    zero = F.lit(0).cast("long")
+    return stats.join(changed, "version", "left").select("version", "files", "bytes", F.coalesce("changed_files", zero).alias("changed_files"), F.coalesce("changed_bytes", zero).alias("changed_bytes"))
 
 
 def unreadable_summary(changes: DataFrame, unreadable: DataFrame) -> DataFrame:

@@ -182,6 +182,13 @@ def repair_sources(bad: DataFrame, entries: DataFrame, local: DataFrame) -> Data
     return bad.select("ref").distinct().join(good, "ref", "left")
 
 
+def unrecoverable_entries(bad: DataFrame, entries: DataFrame, sources: DataFrame, marked: DataFrame) -> DataFrame:
+    """(version, path) to mark as unrecoverable: uses, in any version, of a bad ref that has no source, but for those
+    marked(version, path) already. sources(ref, source) as repair_sources gives them."""
+    lost = bad.select("ref").distinct().join(sources.where("source is not null").select("ref"), "ref", "left_anti")
+    return entries.join(lost, "ref", "left_semi").select("version", "path").distinct().join(marked.select("version", "path"), ["version", "path"], "left_anti")
+
+
 def direct_children(entries: DataFrame, empty_dirs: DataFrame, directory: str) -> DataFrame:
     """(name, is_dir, has_children, length) of what stands right in a directory of a flat manifest. Where a file and a
     directory have one name, the directory is shown."""
@@ -194,8 +201,11 @@ def direct_children(entries: DataFrame, empty_dirs: DataFrame, directory: str) -
 
 
 def browse(rows: DataFrame, offset: int, limit: int) -> DataFrame:
-    """A page of a directory's listing: directories first, then by name without regard to case."""
-    return rows.orderBy(F.col("is_dir").desc(), F.lower("name"), "name").offset(offset).limit(limit)
+    """A page of a directory's listing: directories first, then by name without regard to case; with total, the number of
+    all rows, and truncated, whether any come after the page."""
+    page = rows.orderBy(F.col("is_dir").desc(), F.lower("name"), "name").offset(offset).limit(limit)
+    total = rows.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return page.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > offset + limit)
 
 
 def nearest_versions(entries: DataFrame, unrecoverable: DataFrame, path: str, version: int) -> DataFrame:
@@ -205,10 +215,11 @@ def nearest_versions(entries: DataFrame, unrecoverable: DataFrame, path: str, ve
 
 
 def archive_check(entries: DataFrame, members: DataFrame) -> DataFrame:
-    """entries of packs with verdict against members(pack_id, name, size): Missing, Length or Ok."""
-    inside = members.select(F.col("pack_id").alias("ref"), F.col("name").alias("entry"), F.col("size").alias("_size"))
+    """entries of packs with verdict against members(pack_id, name, size, full_hash): Missing, Length, Hash or Ok. An unknown
+    digest, on either side, is not compared."""
+    inside = members.select(F.col("pack_id").alias("ref"), F.col("name").alias("entry"), F.col("size").alias("_size"), F.col("full_hash").alias("_hash"))
     rows = entries.where("storage_kind = 'pack'").withColumn("entry", F.coalesce("entry_name", "path"))
-    return rows.join(inside, ["ref", "entry"], "left").withColumn("verdict", F.when(F.col("_size").isNull(), "Missing").when(F.col("_size") != F.col("length"), "Length").otherwise("Ok")).drop("_size", "entry")
+    return rows.join(inside, ["ref", "entry"], "left").withColumn("verdict", F.when(F.col("_size").isNull(), "Missing").when(F.col("_size") != F.col("length"), "Length").when(F.coalesce(F.col("_hash") != F.col("full_hash"), F.lit(False)), "Hash").otherwise("Ok")).drop("_size", "_hash", "entry")
 
 
 def directories(entries: DataFrame) -> DataFrame:

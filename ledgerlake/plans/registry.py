@@ -98,10 +98,16 @@ def g02_change_summary(spark, sf):
     return diff.change_summary(_changes(spark, sf))
 
 
-@_query("SELECT CAST(v AS BIGINT) AS version, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes FROM (SELECT 1 AS v, length FROM v1 UNION ALL SELECT 2, length FROM v2) GROUP BY v", fx.CTES)
+@_query(
+    """SELECT CAST(v AS BIGINT) AS version, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes, CASE WHEN v = 1 THEN 0 ELSE (SELECT count(*) FROM changes WHERE change IN ('Added', 'Modified')) END AS changed_files,
+      CASE WHEN v = 1 THEN 0 ELSE (SELECT CAST(coalesce(sum(length), 0) AS BIGINT) FROM changes WHERE change IN ('Added', 'Modified')) END AS changed_bytes
+    FROM (SELECT 1 AS v, length FROM v1 UNION ALL SELECT 2, length FROM v2) GROUP BY v""",
+    fx.CTES,
+    _CHANGES,
+)
 def g01_version_stats(spark, sf):
     both = [fx.version(spark, sf, v).select(F.lit(v).cast("long").alias("version"), "length") for v in (1, 2)]
-    return diff.version_stats(both[0].union(both[1]))
+    return diff.version_stats(both[0].union(both[1]), _changes(spark, sf).withColumn("version", F.lit(2).cast("long")))
 
 
 @_query(
@@ -501,10 +507,10 @@ def g08_check_report(spark, sf):
     return storage.check_report(_found(spark, sf))
 
 
-@_query("SELECT s.path, s.ref, CASE WHEN s.length % 11 = 0 THEN 'Missing' WHEN s.length % 13 = 0 THEN 'Length' ELSE 'Ok' END AS verdict FROM stored s WHERE storage_kind = 'pack'", fx.CTES, fx.STORED_CTE)
+@_query("SELECT s.path, s.ref, CASE WHEN s.length % 11 = 0 THEN 'Missing' WHEN s.length % 13 = 0 THEN 'Length' WHEN s.length % 5 = 1 THEN 'Hash' ELSE 'Ok' END AS verdict FROM stored s WHERE storage_kind = 'pack'", fx.CTES, fx.STORED_CTE)
 def c25_archive_check(spark, sf):
     rows = fx.stored(spark, sf)
-    members = rows.where("storage_kind = 'pack' and length % 11 <> 0").select(F.col("ref").alias("pack_id"), F.col("path").alias("name"), (F.col("length") + F.when(F.col("length") % 13 == 0, 1).otherwise(0)).alias("size"))
+    members = rows.where("storage_kind = 'pack' and length % 11 <> 0").select(F.col("ref").alias("pack_id"), F.col("path").alias("name"), (F.col("length") + F.when(F.col("length") % 13 == 0, 1).otherwise(0)).alias("size"), F.when(F.col("length") % 5 == 1, "other").when(F.col("length") % 5 != 2, F.col("full_hash")).alias("full_hash"))
     return storage.archive_check(rows, members).select("path", "ref", "verdict")
 
 
@@ -610,9 +616,9 @@ def k01_direct_children(spark, sf):
     return storage.direct_children(fx.version(spark, sf, 1), spark.createDataFrame([("src1/empty",), ("other",)], "path string"), "src1")
 
 
-@_query(f"SELECT name, is_dir FROM ({_TREE.format(n=1, d='', e='zz')}) ORDER BY is_dir DESC, lower(name), name LIMIT 7 OFFSET 5", fx.CTES)
+@_query(f"SELECT name, is_dir, count(*) OVER () AS total, count(*) OVER () > 12 AS truncated FROM ({_TREE.format(n=1, d='', e='zz')}) ORDER BY is_dir DESC, lower(name), name LIMIT 7 OFFSET 5", fx.CTES)
 def i05_browse_page(spark, sf):
-    return storage.browse(storage.direct_children(fx.version(spark, sf, 1), spark.createDataFrame([("zz",)], "path string"), ""), 5, 7).select("name", "is_dir")
+    return storage.browse(storage.direct_children(fx.version(spark, sf, 1), spark.createDataFrame([("zz",)], "path string"), ""), 5, 7).select("name", "is_dir", "total", "truncated")
 
 
 @_query("SELECT version, abs(version - 4) AS distance FROM numbered WHERE o_custkey = 1 AND version % 3 <> 0", _VERSIONS_CTE)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import rules, upkeep
+from ..operators import journal, rules, storage, upkeep
 from . import fixtures as fx
-from .registry import _objects, _query
+from .registry import _CLOUD_CTE, _cloud, _objects, _query
 
 _DIR = "regexp_extract(path, '^(.*)/[^/]*$', 1)"
 
@@ -219,3 +219,20 @@ def d06_joined_rules(spark, sf):
     """Two lists, one that minds case and one that does not, as one: the last match of all wins."""
     both = rules.compile_ignore_rules(["/src1/**", "/SRC2/**", "*7"]) + rules.compile_ignore_rules(["!SRC2/**/*7"], ignore_case=True)
     return fx.version(spark, sf, 1).select("path", rules.is_ignored(F.col("path"), False, both).alias("ignored"))
+
+
+@_query(
+    """SELECT version, path FROM stored WHERE ref IN (SELECT ref FROM cloud WHERE verdict <> 'Ok') AND ref NOT IN (SELECT s.ref FROM stored s JOIN v2 l ON s.path = l.path AND s.full_hash = l.full_hash WHERE s.ref IS NOT NULL) AND length % 3 <> 0""",
+    fx.CTES,
+    fx.STORED_CTE,
+    _CLOUD_CTE,
+)
+def c28_unrecoverable_entries(spark, sf):
+    rows, bad = fx.stored(spark, sf), _cloud(spark, sf).where("verdict <> 'Ok'")
+    return storage.unrecoverable_entries(bad, rows, storage.repair_sources(bad, rows, fx.version(spark, sf, 2)), rows.where("length % 3 = 0"))
+
+
+@_query("SELECT count(*) > 0 AS sweep FROM customer")
+def c27_sweep_needed(spark, sf):
+    rows = fx.table(spark, sf, "customer").select((F.col("c_nationkey") % 5 == 1).alias("adopted"))
+    return journal.sweep_needed(rows, False)

@@ -4,7 +4,7 @@ import json
 import pytest
 
 from ledgerlake.operators.rules import compile_ignore_rules
-from ledgerlake.sources.files import scan_files
+from ledgerlake.sources.files import scan_files, walk_tree
 from ledgerlake.sources.journals import read_journals
 from ledgerlake.sources.tables import append_records, current_etag, insert_absent, replace_if_match, upserted, write_version
 from ledgerlake.streaming.replay import record_stream, replay, replayed
@@ -21,6 +21,23 @@ def test_scan_of_a_tree(spark, tmp_path):
     assert rows["a.txt"].head_hash == rows["a.txt"].full_hash
 
 
+def test_walk_of_a_tree(spark, tmp_path):
+    for name in ("a.txt", ".hidden", "_x/b.bin", "d/e/f.log", "d/g/h.txt", "skip/deep/er.txt", "out/in/k.txt", "out/no.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    (tmp_path / "bare/only").mkdir(parents=True)
+    (tmp_path / "link").symlink_to("d/e")
+    (tmp_path / "a.txt").chmod(0o640)
+    scope = spark.createDataFrame([("out", False), ("out/in", True)], "prefix string, included boolean")
+    rows = {r.path: r for r in walk_tree(spark, str(tmp_path), compile_ignore_rules(["skip/", "*.log"]), scope, symlinks=True).collect()}
+    assert {p: r.kind for p, r in rows.items()} == {"a.txt": "file", ".hidden": "file", "_x/b.bin": "file", "d/g/h.txt": "file", "out/in/k.txt": "file", "link": "symlink", "d/e": "empty", "bare/only": "empty"}
+    assert (rows["a.txt"].length, rows["a.txt"].permissions, rows["link"].target) == (5, "0640", "d/e")
+    assert rows["a.txt"].mtime_ticks == (tmp_path / "a.txt").stat().st_mtime_ns // 100
+    assert "link" not in {r.path for r in walk_tree(spark, str(tmp_path)).collect()}
+    missing = walk_tree(spark, f"{tmp_path}/none").collect()
+    assert [(r.path, r.kind, r.is_directory, r.reason) for r in missing] == [("", "unreadable", True, "No such file or directory")]
+
+
 def test_journals_with_bad_lines(spark, tmp_path):
     head = json.dumps({"run_id": "r1", "config_id": 1, "started_at": "2024-01-01T00:00:00Z", "baseline_version": 3})
     record = json.dumps({"kind": "blob", "ref": "data/h", "path": "p", "length": 5})
