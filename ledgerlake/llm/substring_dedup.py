@@ -89,21 +89,34 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return own.mapInArrow(_chunks, f"id {own.schema['id'].dataType.simpleString()}, chunk int, ending int, size int, h1 long, h2 long")
 
 
+#: Chunks of a digest that are dealt over copies of its row once it has so many.
+HOT_ROWS, COPIES = 1_000_000, 64
+
+
+def _with_key(chunks: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """chunks JOIN per_key USING keys; n is a key's number of chunks. A digest that a large part of all chunks have is dealt
+    over COPIES tasks: there are at most chunks / HOT_ROWS such digests, which are broadcast to mark their chunks."""
+    hot = F.broadcast(per_key.where(F.col("n") >= HOT_ROWS).select(*keys, F.lit(True).alias("hot")))
+    left = chunks.join(hot, keys, "left").withColumn("copy", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "chunk"), F.lit(COPIES))).otherwise(0).cast("int")).drop("hot")
+    copies = F.when(F.col("n") >= HOT_ROWS, F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(per_key.withColumn("copy", F.explode(copies)), [*keys, "copy"]).drop("copy")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """(id, spans): for each document with repeated text the [start, end) UTF-8 byte spans to take out, in order.
 
     The first place of a digest, by id and chunk number, is kept; later places are repeats. Spans are runs of
-    consecutive repeats of min_run bytes or more. Digests are counted before anything is joined, so a chunk that a
-    third of all documents have is one row by then. Texts are chunked twice, which costs less than storing all chunks. Rows with equal ids count as one document's rows: the same chunk
+    consecutive repeats of min_run bytes or more. Digests are counted before anything is joined, and the chunks of one that
+    a third of all documents have are dealt over several tasks. Texts are chunked twice, which costs less than storing all chunks. Rows with equal ids count as one document's rows: the same chunk
     of a repeated row is the kept place, not a repeat. Rows with a null id have no spans and keep no digest.
     """
     chunks = chunk_table(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     # half digests that occur once, nearly all, go first; what is left is compared by whole digests
-    twice = chunks.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
-    some = written(chunks.join(twice, "h1", "left_semi"), "chunks")
+    twice = written(chunks.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
+    some = written(_with_key(chunks, twice, ["h1"]).select(chunks.columns), "chunks")
     place = F.struct("id", "chunk")
-    first = some.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("h1", "h2", "low")
-    repeats = some.join(first, ["h1", "h2"]).where(place != F.col("low")).select("id", "chunk", "ending", "size").distinct()
+    first = some.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("h1", "h2", "low", "n")
+    repeats = _with_key(some, first, ["h1", "h2"]).where(place != F.col("low")).select("id", "chunk", "ending", "size").distinct()
     runs = (
         repeats.selectExpr("id", "ending", "size", "chunk - row_number() OVER (PARTITION BY id ORDER BY chunk) AS run")
         .groupBy("id", "run")

@@ -46,6 +46,14 @@ def test_whole_table(spark):
     assert got == want
 
 
+def test_hot_digests_are_dealt_over_copies(spark, monkeypatch):
+    from ledgerlake.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 5)
+    monkeypatch.setattr(substring_dedup, "COPIES", 3)
+    test_whole_table(spark)
+
+
 def test_passages_and_edges(spark):
     rng = random.Random(4)
     text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
