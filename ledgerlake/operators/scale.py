@@ -14,19 +14,23 @@ HOT_ROWS, COPIES = 1_000_000, 64
 BROADCAST_ROWS = 20_000
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the folder that driver and executors share (spark.checkpoint.dir) and read again. Where it is
-    unset, a local master gets a new folder; a cluster has none, so there it is an error."""
-    spark: SparkSession = df.sparkSession
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the one that driver and executors share (spark.checkpoint.dir). Where that is unset, a local
+    master gets a new one; a cluster has none, so there it is an error."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again."""
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sum_before(df: DataFrame, groups: list[str], order: list[str | Column], value: str | None = None, out: str = "before") -> DataFrame:

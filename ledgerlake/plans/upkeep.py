@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import journal, rules, storage, upkeep
+from ..operators.scale import fresh_folder
+from ..sources import journals, tables
+from ..streaming import replay
 from . import fixtures as fx
-from .registry import _CLOUD_CTE, _cloud, _objects, _query
+from .registry import _CLOUD_CTE, _NEWEST_CTE, _cloud, _objects, _query
 
 _DIR = "regexp_extract(path, '^(.*)/[^/]*$', 1)"
 
@@ -236,3 +239,57 @@ def c28_unrecoverable_entries(spark, sf):
 def c27_sweep_needed(spark, sf):
     rows = fx.table(spark, sf, "customer").select((F.col("c_nationkey") % 5 == 1).alias("adopted"))
     return journal.sweep_needed(rows, False)
+
+
+# Sources, sinks and streams, written to the shared folder and read back
+
+
+@_query("SELECT run_id, CAST(r + 1 AS INTEGER) AS baseline_version, path, ref, length FROM (SELECT *, CAST(substring(run_id, 4) AS INTEGER) AS r FROM journal) WHERE r <> 2 AND line_no % 7 <> 0", fx.CTES, fx.JOURNAL_CTE)
+def a08_journals_read(spark, sf):
+    """Three journals as text: the second one's header is broken, and every seventh line of the others."""
+    rows = fx.journal(spark, sf).withColumn("r", F.substring("run_id", 4, 1).cast("int"))
+    record = F.to_json(F.struct("kind", "ref", "path", "full_hash", "length"))
+    line = F.when(F.col("line_no") % 7 == 0, F.concat(F.lit("{"), record)).otherwise(record)
+    lines = rows.groupBy("run_id", "r", "started_at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    header = F.to_json(F.struct("run_id", F.lit(1).alias("config_id"), F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started_at"), (F.col("r") + 1).alias("baseline_version")))
+    path = f"{fresh_folder(spark, 'journals')}/all"
+    lines.select("run_id", F.concat(F.when(F.col("r") == 2, F.lit("no header")).otherwise(header), F.lit("\n"), "lines").alias("value")).repartition("run_id").write.partitionBy("run_id").text(path)
+    return journals.read_journals(spark, path).select("run_id", "baseline_version", "path", "ref", "length")
+
+
+@_query("SELECT CAST(v AS INTEGER) AS version, path, length FROM (SELECT 1 AS v, path, length FROM v1 UNION ALL SELECT 2, path, length FROM v2)", fx.CTES)
+def b01_versions_written(spark, sf):
+    path = fresh_folder(spark, "versions")
+    for v in (1, 2):
+        tables.write_version(fx.version(spark, sf, v).select("path", "length"), path, v)
+    return spark.read.parquet(path)
+
+
+@_query("SELECT path, length FROM v1 UNION ALL SELECT path, length FROM v2 WHERE path NOT IN (SELECT path FROM v1)", fx.CTES)
+def b04_inserted_where_absent(spark, sf):
+    path = f"{fresh_folder(spark, 'inserted')}/all"
+    for v in (1, 2):
+        tables.insert_absent(fx.version(spark, sf, v).select("path", "length"), path, ["path"])
+    return spark.read.parquet(path)
+
+
+@_query("SELECT path, length FROM v2 WHERE doc_id % 2 = 0 UNION ALL SELECT path, length FROM v1 WHERE path NOT IN (SELECT path FROM v2 WHERE doc_id % 2 = 0)", fx.CTES)
+def b06_upserted(spark, sf):
+    return tables.upserted(fx.version(spark, sf, 1).select("path", "length"), fx.version(spark, sf, 2).where("doc_id % 2 = 0").select("path", "length"), ["path"])
+
+
+@_query("SELECT path, run_id, line_no, ref FROM newest", fx.CTES, fx.JOURNAL_CTE, _NEWEST_CTE)
+def l03_replayed_stream(spark, sf):
+    """The journals' records as a stream of files, replayed to the newest record of each path."""
+    folder = fresh_folder(spark, "replay")
+    fx.journal(spark, sf).withColumn("started_at", F.col("started_at").cast("timestamp")).repartition("run_id").write.json(f"{folder}/in")
+    query = replay.replay(replay.record_stream(spark, f"{folder}/in", 1), f"{folder}/out", f"{folder}/state")
+    query.awaitTermination()
+    return replay.replayed(spark, f"{folder}/out").select("path", "run_id", "line_no", "ref")
+
+
+@_query("SELECT date_trunc('hour', ts) AS hour, level, count(*) AS count FROM oplog GROUP BY 1, 2", fx.OPLOG_CTE)
+def l04_log_levels_by_hour(spark, sf):
+    """The counts that the stream comes to once all rows have been seen."""
+    log = fx.oplog(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return replay.log_levels_by_hour(log).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
