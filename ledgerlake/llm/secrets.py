@@ -6,7 +6,6 @@ fitted by Spark's MLlib, and its trees are walked with numpy in the tasks that f
 
 from __future__ import annotations
 
-import math
 import random
 import re
 import string
@@ -15,7 +14,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +39,22 @@ FEATURES = ["length", "entropy", "transitions", "language", "digits", "hexadecim
 _SECRET_WORDS = re.compile(r"(?i)token|secret|passw|pwd|api_?-?key|access_?-?key|private_?-?key|credential|auth|bearer")
 #: What keys of known services begin with; such a key needs no word before it.
 _KEY_PREFIX = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|[sr]k_(?:live|test)_|sk-|xox[abprs]-|AIza|npm_|hf_|eyJ)")
-_HARMLESS_WORDS = re.compile(r"(?i)\b(?:commit|sha\d*|md5|uuid|guid|checksum|digest|etag|rev|revision|build|page|id|isbn|order|phone|card|name|version|file|path|class|function)\b")
+#: Whole words, whatever their case; a number may follow those of _NUMBERED.
+_HARMLESS_WORDS = ("commit", "sha", "md5", "uuid", "guid", "checksum", "digest", "etag", "rev", "revision", "build", "page", "id", "isbn", "order", "phone", "card", "name", "version", "file", "path", "class", "function")
+_NUMBERED = ("sha",)
 #: A text without any of these holds none of the words above, and is not searched for them.
 _SECRET_PARTS = ("token", "secret", "passw", "pwd", "key", "credential", "auth", "bearer")
-_HARMLESS_PARTS = ("commit", "sha", "md5", "uuid", "guid", "checksum", "digest", "etag", "rev", "build", "page", "id", "isbn", "order", "phone", "card", "name", "version", "file", "path", "class", "function")
 _QUOTES = ('"', "'", "`")
+_KEY_BEGINNINGS = {"AK", "AS", "gh", "gi", "gl", "sk", "rk", "xo", "AI", "np", "hf", "ey"}
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _ASSIGNED = re.compile(r"[=:]\s*[\"'`]?\Z")
-_KINDS = {**dict.fromkeys(string.ascii_lowercase, 0), **dict.fromkeys(string.ascii_uppercase, 1), **dict.fromkeys(string.digits, 2)}
 _PATHLIKE = re.compile(r"(?i)(?:https?://|www\.|[./\\][\w-]+/|\.(?:html?|php|png|jpe?g|js|css)\b)")
 #: Classes of characters for transitions: letters whatever their case, digits, other letters, and all else as one.
 _CLASSES = 29
 _CLASS_OF = bytes(b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if 48 <= b <= 57 else 28 if b >= 128 else 0 for b in range(256))
+_CLASS_TABLE = np.frombuffer(_CLASS_OF, np.uint8)
+_KIND_TABLE = np.array([0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 for b in range(256)], np.uint8)
+_HEX_TABLE = np.array([chr(b) in string.hexdigits for b in range(256)])
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
@@ -76,7 +79,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = np.frombuffer(b"\0" + data.translate(_CLASS_OF) + b"\0", np.uint8).astype(np.int64)
             pairs += np.bincount(codes[:-1] * _CLASSES + codes[1:], minlength=len(pairs))
             words.update(w for w in data.translate(_LETTERS).split() if SHORTEST <= len(w) <= LONGEST)
-            if len(words) > 200_000:
+            if len(words) > 500_000:
                 yield table(list(words.items()), False)
                 words.clear()
     yield table(list(words.items()), False)
@@ -98,73 +101,82 @@ def learn_language(docs: DataFrame, text_col: str = "text", max_words: int = MAX
 
 
 class Measures:
-    """FEATURES of candidates. What a candidate's own characters say is kept for those seen last."""
+    """FEATURES of candidates: many at a time with numpy, but for the dictionary's words in them, which are kept for the
+    candidates seen last."""
 
     def __init__(self, language: Language):
-        self.chances = language.transitions.tolist()
+        self.chances = language.transitions
         self.words = language.words
         self.beginnings = {w[:SHORTEST] for w in language.words}
-        self.own = lru_cache(50_000)(self._own)
+        self.covered = lru_cache(100_000)(self._covered)
         self.documented = lru_cache(10_000)(lambda path: bool(re.search(r"(?i)\b(?:test|example|sample|doc)s?\b", path)))
 
-    def _own(self, found: str) -> tuple[float, ...]:
-        n, low = len(found), found.lower()
-        counts = [found.count(c) for c in set(found)]
-        if found.islower() and found.isalpha():
-            changes = digits = 0
-        else:
-            kinds = [_KINDS.get(c, 3) for c in found]
-            changes, digits = sum(map(ne, kinds, kinds[1:])), kinds.count(2)
-        before, chance = 0, 0.0
-        for code in found.encode().translate(_CLASS_OF) + b"\0":
-            chance += self.chances[before][code]
-            before = code
-        at = covered = 0
-        while at <= n - SHORTEST:  # the longest word from each place on
+    def _covered(self, found: str) -> float:
+        """The share of a candidate's characters that the longest word from each place on covers."""
+        low, n, at, covered = found.lower(), len(found), 0, 0
+        while at <= n - SHORTEST:
             step = 0
             if low[at : at + SHORTEST] in self.beginnings:
                 step = next((k for k in range(min(LONGEST, n - at), SHORTEST - 1, -1) if low[at : at + k] in self.words), 0)
             covered += step
             at += step or 1
-        return (
-            float(min(n, 256)),
-            math.log2(n) - sum(c * math.log2(c) for c in counts if c > 1) / n,
-            changes / max(1, n - 1),
-            chance / (n + 1),
-            digits / n,
-            float(not low.strip("0123456789abcdef")),
-            covered / n,
-            max(counts) / n,
-        )
-
-    def of_text(self, text: str, spans: list[tuple[int, int]], path: str) -> Iterator[tuple[float, ...]]:
-        """Of the candidates at spans, from themselves, what stands around them, and the path (or source) of their text."""
+        return covered / n
+
+    def rows(self, seen: list[tuple]) -> np.ndarray:
+        """FEATURES of each (found, in_path, assigned, quoted, secret_word, harmless_word) of around."""
+        found = [x[0] for x in seen]
+        n = np.array([len(x) for x in found])
+        joined = np.frombuffer(("\0" + "\0".join(found) + "\0").encode(), np.uint8)
+        chars, owner = joined[joined != 0], np.repeat(np.arange(len(found), dtype=np.int32), n)
+        kinds = _KIND_TABLE[chars]
+        changes = (kinds[1:] != kinds[:-1]) & (owner[1:] == owner[:-1])
+        classes = _CLASS_TABLE[joined]
+        starts = np.cumsum(n + 1) - (n + 1)  # the mark before each candidate
+        chance = np.add.reduceat(self.chances[classes[:-1], classes[1:]], starts)
+        # each character's number in its candidate: runs of the sorted pairs
+        pairs = np.sort(owner * np.int32(128) + chars)
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        times, of = np.diff(first, append=len(pairs)), pairs[first] >> 7
+        count = lambda mask: np.bincount(owner[mask], minlength=len(found))
+        out = np.empty((len(found), len(FEATURES)))
+        out[:, 0] = np.minimum(n, 256)
+        out[:, 1] = np.log2(n) - np.bincount(of, weights=times * np.log2(times), minlength=len(found)) / n
+        out[:, 2] = np.bincount(owner[1:][changes], minlength=len(found)) / np.maximum(1, n - 1)
+        out[:, 3] = chance / (n + 1)
+        out[:, 4] = count(kinds == 2) / n
+        out[:, 5] = count(~_HEX_TABLE[chars]) == 0
+        out[:, 6] = [self.covered(x) for x in found]
+        out[:, 7:12] = [x[1:] for x in seen]
+        out[:, 12] = np.maximum.reduceat(times, np.flatnonzero(np.diff(of, prepend=-1))) / n
+        return out
+
+    def around(self, text: str, spans: list[tuple[int, int]], path: str) -> Iterator[tuple]:
+        """(found, in_path, assigned, quoted, secret_word, harmless_word) of the candidates at spans, from what stands around
+        them, and the path (or source) of their text."""
         folded, documented = text.lower(), self.documented(path)
-        secret = _Before(_SECRET_WORDS, text) if any(w in folded for w in _SECRET_PARTS) else None
-        harmless = _Before(_HARMLESS_WORDS, text) if any(w in folded for w in _HARMLESS_PARTS) else None
+        if len(folded) != len(text):  # a few letters are two in lower case: fold the Latin ones alone, so that places stay
+            folded = text.translate(_LOWER)
+        secret = _Before([m.span() for m in _SECRET_WORDS.finditer(text)]) if any(w in folded for w in _SECRET_PARTS) else None
+        harmless = _Before(_whole_words(folded))
         for a, b in spans:
             found = text[a:b]
-            *own, same_char = self.own(found)
             near = text[max(0, a - 12) : a]
             pathlike = documented or (("." in near or "/" in near or "\\" in near or "/" in found) and _PATHLIKE.search(near + found) is not None)
-            assigned = ("=" in near or ":" in near) and _ASSIGNED.search(near) is not None
-            quoted = near[-1:] in _QUOTES and text[b : b + 1] in _QUOTES
             yield (
-                *own,
-                float(pathlike),
-                float(assigned),
-                float(quoted),
-                float((secret is not None and secret.within(a)) or _KEY_PREFIX.match(found) is not None),
-                float(harmless is not None and harmless.within(a)),
-                same_char,
+                found,
+                pathlike,
+                ("=" in near or ":" in near) and _ASSIGNED.search(near) is not None,
+                near[-1:] in _QUOTES and text[b : b + 1] in _QUOTES,
+                (secret is not None and secret.within(a)) or (found[:2] in _KEY_BEGINNINGS and _KEY_PREFIX.match(found) is not None),
+                harmless.within(a),
             )
 
 
 class _Before:
-    """Whether a word of a pattern stands in the _NEIGHBOURS characters before a place; places come in ascending order."""
+    """Whether one of the spans ends in the _NEIGHBOURS characters before a place; places come in ascending order."""
 
-    def __init__(self, pattern: re.Pattern, text: str):
-        self.spans, self.at, self.last = [m.span() for m in pattern.finditer(text)], 0, -1
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans, self.at, self.last = spans, 0, -1
 
     def within(self, place: int) -> bool:
         while self.at < len(self.spans) and self.spans[self.at][1] <= place:
@@ -173,25 +185,42 @@ class _Before:
         return self.last >= 0 and self.last >= place - _NEIGHBOURS
 
 
+def _whole_words(folded: str) -> list[tuple[int, int]]:
+    """Spans of _HARMLESS_WORDS, in order."""
+    out, size = [], len(folded)
+    part_of_word = lambda i: 0 <= i < size and (folded[i].isalnum() or folded[i] == "_")
+    for word in _HARMLESS_WORDS:
+        at = folded.find(word)
+        while at >= 0:
+            end = at + len(word)
+            while word in _NUMBERED and end < size and folded[end].isdecimal():
+                end += 1
+            if not part_of_word(at - 1) and not part_of_word(end):
+                out.append((at, end))
+            at = folded.find(word, at + 1)
+    return sorted(out)
+
+
 @dataclass(frozen=True)
 class Forest:
-    """The trees of a fitted forest as arrays over all nodes: inner nodes go left where feature <= threshold."""
+    """The trees of a fitted forest, each filled up to one depth: inner nodes in heap order, which go right where feature >
+    threshold, and the share of secrets in each leaf."""
 
-    roots: np.ndarray
     feature: np.ndarray
     threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
     share: np.ndarray
 
     def probability(self, rows: np.ndarray) -> np.ndarray:
         """The mean share of secrets in the leaves that each row of FEATURES comes to."""
-        at = np.repeat(self.roots[None, :], len(rows), axis=0)
-        place = np.arange(len(rows))[:, None]
-        while (inner := self.feature[at] >= 0).any():
-            goes_left = rows[place, np.maximum(self.feature[at], 0)] <= self.threshold[at]
-            at = np.where(inner, np.where(goes_left, self.left[at], self.right[at]), at)
-        return self.share[at].mean(axis=1)
+        trees, inner = self.feature.shape
+        feature, threshold, values = self.feature.ravel(), self.threshold.ravel(), np.ascontiguousarray(rows).ravel()
+        row = (np.arange(len(rows), dtype=np.int32) * rows.shape[1])[:, None]
+        tree = (np.arange(trees, dtype=np.int32) * inner)[None, :]
+        at = np.zeros((len(rows), trees), np.int32)
+        for _ in range((inner + 1).bit_length() - 1):
+            node = at + tree
+            at = 2 * at + 1 + (values[row + feature[node]] > threshold[node])
+        return self.share.ravel()[at - inner + np.arange(trees, dtype=np.int32) * (inner + 1)].mean(axis=1)
 
 
 def train_forest(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 11) -> Forest:
@@ -204,16 +233,22 @@ def train_forest(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int
     path = f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
     model.save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
-    place = {(r.treeID, r.id): i for i, r in enumerate(nodes)}
-    inner = [r.leftChild >= 0 for r in nodes]
-    return Forest(
-        np.array([place[t, 0] for t in sorted({r.treeID for r in nodes})]),
-        np.array([r.split.featureIndex if i else -1 for r, i in zip(nodes, inner, strict=True)]),
-        np.array([r.split.leftCategoriesOrThreshold[0] if i else 0.0 for r, i in zip(nodes, inner, strict=True)]),
-        np.array([place[r.treeID, r.leftChild] if i else 0 for r, i in zip(nodes, inner, strict=True)]),
-        np.array([place[r.treeID, r.rightChild] if i else 0 for r, i in zip(nodes, inner, strict=True)]),
-        np.array([r.impurityStats[1] / max(1e-9, sum(r.impurityStats)) if len(r.impurityStats) > 1 else 0.0 for r in nodes]),
-    )
+    by = {(r.treeID, r.id): r for r in nodes}
+    inner = (1 << depth) - 1
+    feature, threshold, share = np.zeros((trees, inner), np.int32), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1))
+    for tree in range(trees):
+        waiting = [(0, 0)]
+        while waiting:
+            at, node = waiting.pop()
+            r = by[tree, node]
+            if at >= inner:
+                share[tree, at - inner] = r.impurityStats[1] / sum(r.impurityStats) if len(r.impurityStats) > 1 else 0.0
+                continue
+            if r.leftChild >= 0:
+                feature[tree, at], threshold[tree, at] = r.split.featureIndex, r.split.leftCategoriesOrThreshold[0]
+            # a leaf above the last level stands for all leaves below it
+            waiting += [(2 * at + 1, r.leftChild if r.leftChild >= 0 else node), (2 * at + 2, r.rightChild if r.leftChild >= 0 else node)]
+    return Forest(feature, threshold, share)
 
 
 def _finding(number: int, words: list[str]) -> tuple[str, str, str, str, int]:
@@ -285,15 +320,15 @@ def labelled_findings(spark: SparkSession, language: Language, n: int = N_FINDIN
                 text = before + found + after
                 secret = (len(before), len(before) + len(found))
                 spans = [m.span() for m in _RUN.finditer(text)]
-                made += [(i, row, float(label and span == secret)) for span, row in zip(spans, measures.of_text(text, spans, path), strict=True)]
-            columns = zip(*(x[1] for x in made), strict=True) if made else [[] for _ in FEATURES]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), *(pa.array(c, pa.float64()) for c in columns), pa.array([x[2] for x in made], pa.float64())], ["number", *FEATURES, "label"])
+                made += [(i, seen, float(label and span == secret)) for span, seen in zip(spans, measures.around(text, spans, path), strict=True)]
+            columns = measures.rows([x[1] for x in made]).T if made else np.empty((len(FEATURES), 0))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int64()), *(pa.array(c.copy()) for c in columns), pa.array([x[2] for x in made], pa.float64())], ["number", *FEATURES, "label"])
 
     return spark.range(0, n, 1, 4).mapInArrow(make, "number long, " + ", ".join(f"{f} double" for f in FEATURES) + ", label double")
 
 
 #: Candidates whose measures are held at a time.
-JUDGED_AT_ONCE = 20_000
+JUDGED_AT_ONCE = 4000
 _FOUND = [("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]
 
 
@@ -315,7 +350,7 @@ def scan_secrets(docs: DataFrame, forest: Forest, language: Language, id_col: st
             rows, places = [], []
 
             def judge(counts=counts, most=most, secrets=secrets, rows=rows, places=places) -> None:
-                p, owner = trees.probability(np.array(rows)), np.array([x[0] for x in places])
+                p, owner = trees.probability(measures.rows(rows)), np.array([x[0] for x in places])
                 np.add.at(counts, owner, 1)
                 np.maximum.at(most, owner, p)
                 for k in np.flatnonzero(p >= 0.5).tolist():
@@ -326,8 +361,8 @@ def scan_secrets(docs: DataFrame, forest: Forest, language: Language, id_col: st
             for i, (text, path) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
                 text = text.as_py() or ""
                 spans = [m.span() for m in _RUN.finditer(text)]
-                for span, row in zip(spans, measures.of_text(text, spans, path.as_py() or "") if spans else (), strict=True):
-                    rows.append(row)
+                for span, seen in zip(spans, measures.around(text, spans, path.as_py() or "") if spans else (), strict=True):
+                    rows.append(seen)
                     places.append((i, *span))
                     if len(rows) >= JUDGED_AT_ONCE:
                         judge()
